@@ -22,12 +22,33 @@ from tidemark.sources.tables import customers_with_entity, table
 KEYS = flatten.KEYS
 
 
-def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return customer_snapshot(spark, sf, RUN.as_of)
+FIRST = "*.first_order.order_date"
+VOUCHER = "*.first_order.voucher"
+COUNTS = "*.lifetime.order_count"
 
 
-def _from_snapshot(spark: SparkSession, sf: str, columns: dict) -> DataFrame:
-    return flatten.flatten(_snapshot(spark, sf), columns)
+def _snapshot(spark: SparkSession, sf: str, *paths: str) -> DataFrame:
+    return customer_snapshot(spark, sf, RUN.as_of, paths=paths)
+
+
+def _from_snapshot(spark: SparkSession, sf: str, paths: tuple[str, ...], columns: dict) -> DataFrame:
+    return flatten.flatten(_snapshot(spark, sf, *paths), columns)
+
+
+def _qc_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Pooled quick-commerce columns, voucher and frequency: what targets and populations need."""
+    columns = {
+        **flatten.qc_rollup_columns(),
+        "first_order_voucher_vert_qc": flatten.first_qc_voucher(),
+        "days_since_first_order_vert_qc": x.days_since(flatten.first_qc_date(), RUN.as_of),
+        "gmv_avg_lifetime_vert_dmart": flatten.dark_store_columns()["gmv_avg_lifetime_vert_dmart"],
+    }
+    rows = _from_snapshot(spark, sf, QC_PATHS, columns)
+    freq = x.frequency_per_4_weeks("order_count_lifetime_vert_qc", "days_since_first_order_vert_qc")
+    return rows.withColumn("order_freq_4w_vert_qc", freq)
+
+
+QC_PATHS = (FIRST, VOUCHER, COUNTS, "*.lifetime.gmv_sum", "*.lifetime.late_orders")
 
 
 # ---------------------------------------------------------------- feature tables
@@ -45,7 +66,7 @@ def _(spark, sf):
 
 @query("flatten_features", f"WITH {q.BASE} SELECT {q.KEYS}, {q.flat_columns(internal=True)} FROM snap")
 def _(spark, sf):
-    return flatten.flatten_features(_snapshot(spark, sf), RUN.as_of)
+    return flatten.flatten_features(_snapshot(spark, sf, *flatten.FEATURE_PATHS), RUN.as_of)
 
 
 @query("trial_input", trial.TRIAL_SQL)
@@ -130,7 +151,7 @@ def _(spark, sf):
         orders.restaurants.lifetime.order_count AS orders,
         orders.restaurants.first_order.order_date AS first_order_date
       FROM {snapshot} WHERE global_entity_id = :entity"""
-    _snapshot(spark, sf).createOrReplaceTempView("tidemark_snapshot")
+    _snapshot(spark, sf, FIRST, COUNTS).createOrReplaceTempView("tidemark_snapshot")
     return readers.read_query(spark, text.format(snapshot="IDENTIFIER(:source)"),
                               {"entity": "EUROPE", "source": "tidemark_snapshot"})
 
@@ -238,7 +259,7 @@ def _(spark, sf):
       ifnull(ls_l16w_gmv_sum, 0) AS ls_gmv_l16w FROM snap""",
 )
 def _(spark, sf):
-    return _from_snapshot(spark, sf, {
+    return _from_snapshot(spark, sf, (COUNTS, "localstores.last16w.gmv_sum"), {
         "dm_orders": x.or_zero("orders.darkstores.lifetime.order_count"),
         "ls_gmv_l16w": F.coalesce("orders.localstores.last16w.gmv_sum", F.lit(0.0)),
     })
@@ -249,7 +270,7 @@ def _(spark, sf):
        "WHEN dm_first_date > ls_first_date THEN dm_first_date ELSE ls_first_date END AS later_first FROM snap")
 def _(spark, sf):
     dm, ls = "orders.darkstores.first_order.order_date", "orders.localstores.first_order.order_date"
-    return _from_snapshot(spark, sf, {"first_qc": x.least_strict(dm, ls), "later_first": x.greatest_strict(dm, ls)})
+    return _from_snapshot(spark, sf, (FIRST,), {"first_qc": x.least_strict(dm, ls), "later_first": x.greatest_strict(dm, ls)})
 
 
 @query(
@@ -259,7 +280,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     firsts = {v: F.col(f"orders.{v}.first_order.order_date") for v in ("restaurants", "darkstores", "localstores")}
-    return _from_snapshot(spark, sf, {
+    return _from_snapshot(spark, sf, (FIRST,), {
         "first_any": x.least_of_array(F.array(*firsts.values())),
         "last_qc_first": x.greatest_of_array(F.array(firsts["darkstores"], firsts["localstores"])),
     })
@@ -267,7 +288,7 @@ def _(spark, sf):
 
 @query("first_qc_voucher", f"WITH {q.BASE} SELECT {q.KEYS}, {q.QC_VOUCHER} AS first_order_voucher_vert_qc FROM snap")
 def _(spark, sf):
-    return _from_snapshot(spark, sf, {"first_order_voucher_vert_qc": flatten.first_qc_voucher()})
+    return _from_snapshot(spark, sf, (FIRST, VOUCHER), {"first_order_voucher_vert_qc": flatten.first_qc_voucher()})
 
 
 @query(
@@ -278,7 +299,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     recent = "orders.restaurants.last4w.order_count"
-    return _from_snapshot(spark, sf, {
+    return _from_snapshot(spark, sf, ("restaurants.last*.*", "restaurants.lifetime.gmv_avg"), {
         "gmv_if_active": x.gated(recent, "orders.restaurants.lifetime.gmv_avg"),
         "late_if_active": x.gated(recent, "orders.restaurants.last16w.late_orders", otherwise=0),
     })
@@ -291,7 +312,7 @@ def _(spark, sf):
       CAST({q.AS_OF} - rs_last_date AS INTEGER) AS days_since_last_order_vert_rs FROM snap""",
 )
 def _(spark, sf):
-    return _from_snapshot(spark, sf, flatten.recency_columns(RUN.as_of))
+    return _from_snapshot(spark, sf, ("*.first_order.order_date", "*.last_order.order_date"), flatten.recency_columns(RUN.as_of))
 
 
 @query("day_of_week", f"WITH {q.FACTS} SELECT oid AS order_id, CAST(dayofweek(order_date) + 1 AS INTEGER) AS weekday FROM facts")
@@ -315,7 +336,7 @@ def _(spark, sf):
     FROM snap""",
 )
 def _(spark, sf):
-    return _from_snapshot(spark, sf, flatten.late_share_columns())
+    return _from_snapshot(spark, sf, ("restaurants.*.order_count", "restaurants.*.late_orders"), flatten.late_share_columns())
 
 
 @query(
@@ -326,7 +347,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cols = flatten.first_order_columns()
-    return _from_snapshot(spark, sf, {
+    return _from_snapshot(spark, sf, ("restaurants.first_order.*",), {
         f"{name}_pct": cols[f"first_order_{source}_pct_vert_rs"]
         for name, source in (("fee", "delivery_fee"), ("discount", "discount"), ("voucher", "voucher"))
     })
@@ -339,21 +360,20 @@ def _(spark, sf):
         for p in ("weekend", "morning", "afternoon", "night")) + " FROM snap",
 )
 def _(spark, sf):
-    return _from_snapshot(spark, sf, flatten.daypart_share_columns())
+    return _from_snapshot(spark, sf, ("restaurants.lifetime.*order_count",), flatten.daypart_share_columns())
 
 
 @query("order_freq_4w", f"WITH {q.BASE} SELECT {q.KEYS}, {q.QC_FREQ} AS order_freq_4w_vert_qc FROM snap")
 def _(spark, sf):
-    days = flatten.recency_columns(RUN.as_of)["days_since_first_order_vert_qc"]
-    count = flatten.qc_rollup_columns()["order_count_lifetime_vert_qc"]
-    return _from_snapshot(spark, sf, {"order_freq_4w_vert_qc": x.frequency_per_4_weeks(count, days)})
+    return _qc_figures(spark, sf).select(*KEYS, "order_freq_4w_vert_qc")
 
 
 @query(
     "qc_rollup",
     f"""WITH {q.BASE}, qc AS (
       SELECT cust, min(order_date) FILTER (vertical = 'darkstores') AS dm, min(order_date) FILTER (vertical = 'localstores') AS ls,
-        count(*) AS n, count(*) FILTER (delay_f > 0) AS late, sum(gmv_c) / 1e2 / count(*) AS aov,
+        count(*) AS n, count(*) FILTER (delay_f > 0) AS late, (coalesce(sum(gmv_c) FILTER (vertical = 'darkstores'), 0) / 1e2
+          + coalesce(sum(gmv_c) FILTER (vertical = 'localstores'), 0) / 1e2) / count(*) AS aov,
         count(*) FILTER (vertical = 'darkstores') AS n_dm
       FROM facts WHERE vertical <> 'restaurants' GROUP BY cust)
     SELECT entity AS global_entity_id, people.cust AS analytical_customer_id,
@@ -363,7 +383,7 @@ def _(spark, sf):
     FROM people JOIN (SELECT DISTINCT cust FROM facts) USING (cust) LEFT JOIN qc USING (cust)""",
 )
 def _(spark, sf):
-    return _from_snapshot(spark, sf, flatten.qc_rollup_columns())
+    return _from_snapshot(spark, sf, QC_PATHS, flatten.qc_rollup_columns())
 
 
 @query(
@@ -391,10 +411,9 @@ def _(spark, sf):
 @query(
     "orders_per_visit",
     f"""WITH {q.WITH_PROFILE}, {q.FEATURES} SELECT global_entity_id, analytical_customer_id,
-      greatest(-1, least(2, order_count_l04w_vert_rs / nullif(visit_count_l04w, 0))) AS raw,
       CASE WHEN order_count_l04w_vert_rs IS NULL OR visit_count_l04w = 0 THEN NULL
            ELSE greatest(-1, least(2, order_count_l04w_vert_rs / visit_count_l04w)) END AS orders_per_visit
-    FROM features""".replace("greatest(-1, least(2, order_count_l04w_vert_rs / nullif(visit_count_l04w, 0))) AS raw,\n      ", ""),
+    FROM features""",
 )
 def _(spark, sf):
     ratio = x.orders_per_visit("order_count_l04w_vert_rs", "visit_count_l04w")
@@ -413,7 +432,7 @@ def _(spark, sf):
 
 @query("cohort_conversion", f"WITH {q.BASE} SELECT {q.KEYS}, rs_last_date, dm_first_date FROM snap WHERE {q.CONVERSION}")
 def _(spark, sf):
-    rows = _from_snapshot(spark, sf, {
+    rows = _from_snapshot(spark, sf, (FIRST, "*.last_order.order_date"), {
         "rs_first_date": F.col("orders.restaurants.first_order.order_date"),
         "rs_last_date": F.col("orders.restaurants.last_order.order_date"),
         "dm_first_date": F.col("orders.darkstores.first_order.order_date"),
@@ -429,7 +448,7 @@ def _(spark, sf):
       AND (dm_first_date IS NULL OR (rs_first_date < rs_last_date AND rs_last_date < dm_first_date))""",
 )
 def _(spark, sf):
-    rows = _from_snapshot(spark, sf, {
+    rows = _from_snapshot(spark, sf, (FIRST, "*.last_order.order_date"), {
         "rs_first_date": F.col("orders.restaurants.first_order.order_date"),
         "rs_last_date": F.col("orders.restaurants.last_order.order_date"),
         "dm_first_date": F.col("orders.darkstores.first_order.order_date"),
@@ -446,7 +465,7 @@ def _(spark, sf):
       rs_l16w_order_count AS order_count_l16w_vert_rs FROM snap WHERE cust % 10 > 0 AND {q.USUAL}""",
 )
 def _(spark, sf):
-    flat = flatten.flatten_features(_snapshot(spark, sf), RUN.as_of)
+    flat = flatten.flatten_features(_snapshot(spark, sf, *flatten.FEATURE_PATHS), RUN.as_of)
     freq = x.frequency_per_4_weeks("order_count_lifetime_vert_qc", "days_since_first_order_vert_qc")
     kept = flat.withColumn("order_freq_4w_vert_qc", freq).filter(cohorts.within_usual_range())
     return kept.select(*KEYS, "order_count_lifetime_vert_rs", "order_count_l16w_vert_rs")
@@ -458,7 +477,7 @@ def _(spark, sf):
     WHERE rs_lifetime_delivery_fee_sum >= 0 AND rs_lifetime_delivery_fee_sum <= 20""",
 )
 def _(spark, sf):
-    rows = _from_snapshot(spark, sf, {"fees": F.col("orders.restaurants.lifetime.delivery_fee_sum")})
+    rows = _from_snapshot(spark, sf, ("restaurants.lifetime.delivery_fee_sum",), {"fees": F.col("orders.restaurants.lifetime.delivery_fee_sum")})
     return rows.filter(cohorts.value_band(F.col("fees"), 0, 20))
 
 
@@ -467,7 +486,7 @@ def _(spark, sf):
     f"WITH {q.BASE} SELECT {q.KEYS}, lat AS cust_lat, lon AS cust_long FROM snap WHERE lat > 59.2 AND lon > 18.1",
 )
 def _(spark, sf):
-    rows = _from_snapshot(spark, sf, flatten.location_columns()).select(*KEYS, "cust_lat", "cust_long")
+    rows = _from_snapshot(spark, sf, (COUNTS,), flatten.location_columns()).select(*KEYS, "cust_lat", "cust_long")
     return cohorts.with_coordinates(rows).filter(cohorts.geo_box(lat_from=59.2, long_from=18.1))
 
 
@@ -477,7 +496,7 @@ def _(spark, sf):
       ELSE 'predict' END AS population FROM (SELECT *, {q.QC_VOUCHER} AS qc_voucher FROM snap)""",
 )
 def _(spark, sf):
-    flat = flatten.flatten_features(_snapshot(spark, sf), RUN.as_of)
+    flat = _qc_figures(spark, sf)
     return flat.select(*KEYS, cohorts.organic_population(targets.organic()).alias("population"))
 
 
@@ -487,7 +506,7 @@ def _(spark, sf):
       WHEN qc_count <= 1 THEN 'predict' END AS population FROM snap""",
 )
 def _(spark, sf):
-    flat = flatten.flatten_features(_snapshot(spark, sf), RUN.as_of)
+    flat = _qc_figures(spark, sf)
     population = cohorts.value_population(
         F.col("order_count_lifetime_vert_qc"), F.col("first_order_date_vert_qc"), targets.order_value(), RUN.date_until
     )
@@ -500,7 +519,7 @@ def _(spark, sf):
       count(*) AS customers FROM snap""",
 )
 def _(spark, sf):
-    flat = flatten.flatten_features(_snapshot(spark, sf), RUN.as_of)
+    flat = _qc_figures(spark, sf)
     broken = (F.col("order_count_lifetime_vert_qc") > 0) & F.col("gmv_avg_lifetime_vert_qc").isNull()
     return flat.agg(F.count(F.when(broken, 1)).alias("violations"), F.count("*").alias("customers"))
 
@@ -529,9 +548,7 @@ def _(spark, sf):
 def _target(name: str, column, sql_expr: str) -> None:
     @query(name, f"WITH {q.BASE} SELECT {q.KEYS}, {sql_expr} AS target FROM snap")
     def _(spark, sf):
-        flat = flatten.flatten_features(_snapshot(spark, sf), RUN.as_of, dark_stores=True)
-        freq = x.frequency_per_4_weeks("order_count_lifetime_vert_qc", "days_since_first_order_vert_qc")
-        return flat.withColumn("order_freq_4w_vert_qc", freq).select(*KEYS, column().alias("target"))
+        return _qc_figures(spark, sf).select(*KEYS, column().alias("target"))
 
 
 _GENERAL_SQL = "CAST(dm_lifetime_order_count IS NOT NULL AND dm_lifetime_order_count > 0 AS INTEGER)"

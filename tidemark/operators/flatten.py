@@ -43,6 +43,17 @@ WINDOW_MEASURES = {
     "delivery_delay_avg": "delivery_delay_avg",
 }
 
+# Snapshot fields the feature table reads.
+FEATURE_PATHS = (
+    "restaurants.*",
+    "*.first_order.order_date",
+    "*.first_order.voucher",
+    "*.lifetime.order_count",
+    "*.lifetime.late_orders",
+    "*.lifetime.gmv_sum",
+)
+STAGE_PATHS = (*FEATURE_PATHS, "localstores.*.deliv_dist_m_avg")
+
 COVERAGE = (
     "coverage_vendors_qc",
     "coverage_dmart",
@@ -163,6 +174,14 @@ def location_columns(local_store_suffix: bool = False) -> dict[str, Column]:
     return out
 
 
+def dark_store_columns() -> dict[str, Column]:
+    count = _record("darkstores", "lifetime", "order_count")
+    return {
+        "first_order_date_vert_dmart": _record("darkstores", "first_order", "order_date"),
+        "gmv_avg_lifetime_vert_dmart": share_of(_record("darkstores", "lifetime", "gmv_sum"), count),
+    }
+
+
 def feature_columns(as_of: dt.date, local_stores: bool = False, dark_stores: bool = False) -> dict[str, Column]:
     """Every flat column; optional groups add local-store distances and dark-store-only figures."""
     out: dict[str, Column] = {
@@ -180,9 +199,7 @@ def feature_columns(as_of: dt.date, local_stores: bool = False, dark_stores: boo
     if local_stores:
         out.update(window_columns("localstores", "vert_ls", {"deliv_dist_m_avg": "deliv_dist_m_avg"}))
     if dark_stores:
-        count = _record("darkstores", "lifetime", "order_count")
-        out["first_order_date_vert_dmart"] = _record("darkstores", "first_order", "order_date")
-        out["gmv_avg_lifetime_vert_dmart"] = share_of(_record("darkstores", "lifetime", "gmv_sum"), count)
+        out.update(dark_store_columns())
     return out
 
 

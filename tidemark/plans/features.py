@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import frequency_per_4_weeks, gated, or_zero, safe_divide
 from tidemark.operators.cohorts import active_cohort, conversion_cohort, in_entity, within_usual_range
-from tidemark.operators.flatten import KEYS, flatten_features
+from tidemark.operators.flatten import FEATURE_PATHS, KEYS, STAGE_PATHS, flatten_features
 from tidemark.params import RunParams
 from tidemark.sources.profile import behaviour_profile, id_map
 from tidemark.sources.snapshot import customer_snapshot
@@ -108,8 +108,8 @@ def behaviour(spark: SparkSession, directory: str, run: RunParams) -> DataFrame:
 
 def active_features(spark: SparkSession, directory: str, run: RunParams) -> DataFrame:
     """Flat cohort rows before behaviour is attached."""
-    flat = flatten_features(customer_snapshot(spark, directory, run.as_of, run.entity), run.as_of)
-    return flat.filter(
+    snapshot = customer_snapshot(spark, directory, run.as_of, run.entity, FEATURE_PATHS)
+    return flatten_features(snapshot, run.as_of).filter(
         active_cohort(F.col("first_order_date_vert_rs"), F.col("last_order_date_vert_rs"), run.as_of)
     )
 
@@ -152,10 +152,10 @@ def assemble_stage_features(snapshot: DataFrame, rolled: DataFrame, run: RunPara
 
 def feature_table(spark: SparkSession, directory: str, run: RunParams, fix_session_avg: bool = False,
                   dark_stores: bool = False) -> DataFrame:
-    snapshot = customer_snapshot(spark, directory, run.as_of, run.entity)
+    snapshot = customer_snapshot(spark, directory, run.as_of, run.entity, FEATURE_PATHS)
     return assemble_features(snapshot, behaviour(spark, directory, run), run, fix_session_avg, dark_stores)
 
 
 def stage_feature_table(spark: SparkSession, directory: str, run: RunParams, strict: bool = False) -> DataFrame:
-    snapshot = customer_snapshot(spark, directory, run.as_of, run.entity)
+    snapshot = customer_snapshot(spark, directory, run.as_of, run.entity, STAGE_PATHS)
     return assemble_stage_features(snapshot, behaviour(spark, directory, run), run, strict)

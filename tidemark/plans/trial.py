@@ -49,6 +49,13 @@ TRIAL_VENDORS = {
     "vendor_distinct_orders_l4w_vert_rs": "distinct_vendor_orders_last4w",
     "vendor_loyalty_vert_rs": "restaurant_loyalty",
 }
+TRIAL_PATHS = (
+    "*.first_order.order_date",
+    "restaurants.first_order.gmv",
+    "restaurants.first_order.delivery_delay",
+    "restaurants.lifetime.*",
+    "restaurants.last16w.*",
+)
 CUISINES = 7
 
 
@@ -89,7 +96,7 @@ def ratings_and_vendors(spark: SparkSession, directory: str, run: RunParams) ->
 
 
 def trial_snapshot(spark: SparkSession, directory: str, run: RunParams) -> DataFrame:
-    base = customer_snapshot(spark, directory, run.as_of, run.entity).select(
+    base = customer_snapshot(spark, directory, run.as_of, run.entity, TRIAL_PATHS).select(
         *KEYS,
         F.struct(
             F.col("orders.restaurants").alias("restaurants"),
@@ -139,7 +146,7 @@ _WINDOW_SQL = ",\n      ".join(
 )
 
 TRIAL_SQL = f"""WITH {q.BASE}, {q.PROFILE}, rated AS (
-      SELECT cust AS v_cust, arg_min(rating, order_date * 1) AS unused, count(*) AS n, sum(rating) AS stars,
+      SELECT cust AS v_cust, count(*) AS n, sum(rating) AS stars,
         count(DISTINCT vendor) AS vendors,
         count(DISTINCT vendor) FILTER (order_date > {q.AS_OF} - 113) AS vendors16,
         count(DISTINCT vendor) FILTER (order_date > {q.AS_OF} - 29) AS vendors4
@@ -176,6 +183,4 @@ TRIAL_SQL = f"""WITH {q.BASE}, {q.PROFILE}, rated AS (
       'cuisine_' || code AS vendor_favorite_cuisine_vert_rs, vendors16 AS vendor_distinct_orders_l16w_vert_rs,
       vendors4 AS vendor_distinct_orders_l4w_vert_rs, 1 - vendors / n AS vendor_loyalty_vert_rs
     FROM snap LEFT JOIN rated ON v_cust = cust LEFT JOIN first_rating ON f_cust = cust
-      LEFT JOIN favourite ON c_cust = cust LEFT JOIN visited ON s_entity = entity AND s_cust = cust""".replace(
-    " arg_min(rating, order_date * 1) AS unused,", ""
-)
+      LEFT JOIN favourite ON c_cust = cust LEFT JOIN visited ON s_entity = entity AND s_cust = cust"""
