@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1000
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots."""
+    return f"`{name}`"
+
+
 def skew_safe_lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
     """Left join `df` to `dim` (unique on `on`, `weight` = rows of `df` per key).
 
@@ -21,7 +26,7 @@ def skew_safe_lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], weight: s
     """
     values = [c for c in dim.columns if c not in on and c != weight]
     total = dim.agg(F.sum(weight)).scalar()
-    record = F.struct(*[F.col(c) for c in values])
+    record = F.struct(*[F.col(quoted(c)) for c in values])
     hot = dim.filter(F.col(weight) * HOT_PARTS >= total).select(
         *[F.col(k).alias(f"__hot_{k}") for k in on], record.alias("__hot")
     )
@@ -36,9 +41,9 @@ def skew_safe_lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], weight: s
     keyed = marked.select(
         "*",
         *[F.when(open_, F.col(k)).alias(f"__key_{k}") for k in on],
-        F.when(open_, F.lit(0).cast("bigint")).otherwise(F.xxhash64(*df.columns).bitwiseOR(F.lit(1).cast("bigint"))).alias("__salt"),
+        F.when(open_, F.lit(0).cast("bigint")).otherwise(F.xxhash64(*[quoted(c) for c in df.columns]).bitwiseOR(F.lit(1).cast("bigint"))).alias("__salt"),
     )
     match = [F.col(f"__key_{k}") == F.col(f"__cold_{k}") for k in on] + [F.col("__salt") == F.col("__salt_0")]
     joined = keyed.join(cold, match, "left")
     found = F.coalesce("__hot", "__cold")
-    return joined.select(*df.columns, *[found.getField(c).alias(c) for c in values])
+    return joined.select(*[quoted(c) for c in df.columns], *[found.getField(c).alias(c) for c in values])
