@@ -2,10 +2,173 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import portable_hash
+from tidemark.operators.models import FEATURES, LABEL, score_column
+from tidemark.operators.ordering import average_rank, dense_index
+from tidemark.operators.sampling import hash_sample
+from tidemark.session import durable
+
 
 def top_features(importance: DataFrame, value: str, n: int) -> DataFrame:
     """The n largest, ties by name."""
     return importance.orderBy(F.col(value).desc(), F.col("feature")).limit(n)
+
+
+def feature_importance(spark: SparkSession, models: Sequence, names: Sequence[str]) -> DataFrame:
+    """Importance per model (scaled to sum 1), their mean, and the position by mean, from 1.
+
+    One row per feature of the model: model metadata, independent of the data size.
+    """
+    shares = []
+    for m in models:
+        values = [float(v) for v in m.featureImportances.toArray()]
+        total = sum(values) or 1.0
+        shares.append([v / total for v in values])
+    means = [sum(s[i] for s in shares) / len(shares) for i in range(len(names))]
+    order = sorted(range(len(names)), key=lambda i: (-means[i], names[i]))
+    rows = [
+        (position, names[i], *[s[i] for s in shares], means[i]) for position, i in enumerate(order, start=1)
+    ]
+    per_model = ", ".join(f"imp_{i} double" for i in range(len(shares)))
+    return spark.createDataFrame(rows, f"position int, feature string, {per_model}, imp_mean double")
+
+
+def permutation_importance(model, df: DataFrame, keys: Sequence[str], names: Sequence[str], n_iter: int = 1,
+                           binary: bool = True, rank: bool = False, seed: int = 42) -> DataFrame:
+    """Score drop when one feature is shuffled: accuracy for classifiers, r2 for regressors.
+
+    Rows are numbered in key-hash order, which is a random order; each (feature, iteration) reads its
+    value from the row a hash-drawn distance further on. That is a permutation, needs one equi-join for
+    all features and iterations, and never moves a column through the driver.
+    """
+    indexed = durable(dense_index(df.select(*keys, LABEL, FEATURES), keys, portable_hash(seed, *keys)))
+    n = indexed.count()
+    base = indexed.select("__index", LABEL, vector_to_array(FEATURES).alias("x"))
+    jobs = F.inline(
+        F.arrays_zip(
+            F.flatten(F.array_repeat(F.sequence(F.lit(0), F.lit(len(names) - 1)), n_iter)).alias("f"),
+            F.flatten(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(n_iter - 1)), lambda i: F.array_repeat(i, len(names))
+                )
+            ).alias("it"),
+        )
+    )
+    fanned = base.select("__index", LABEL, "x", jobs)
+    shift = portable_hash(seed, F.col("f").cast("string"), F.col("it").cast("string")) % max(n - 1, 1) + 1
+    fanned = fanned.withColumn("partner", (F.col("__index") + shift) % n)
+    partners = base.select(F.col("__index").alias("partner"), F.col("x").alias("other"))
+    shuffled = fanned.join(partners, "partner").select(
+        "f",
+        "it",
+        LABEL,
+        array_to_vector(
+            F.expr("transform(x, (v, i) -> IF(i = f, element_at(other, CAST(i + 1 AS INT)), v))")
+        ).alias(FEATURES),
+    )
+    original = indexed.select(F.lit(-1).alias("f"), F.lit(0).alias("it"), LABEL, FEATURES)
+    scored = score_column(model, shuffled.unionByName(original), "__score", binary)
+    if binary:
+        quality = F.avg((F.bround("__score").cast("int") == F.col(LABEL).cast("int")).cast("double"))
+    else:
+        y, p = F.col(LABEL), F.col("__score")
+        quality = 1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))
+    runs = durable(scored.groupBy("f", "it").agg(quality.alias("quality")))
+    reference = runs.filter("f = -1").first()["quality"]
+    lookup = F.array(*[F.lit(c) for c in names])
+    drops = (
+        runs.filter("f >= 0")
+        .groupBy("f")
+        .agg(
+            F.avg(F.lit(reference) - F.col("quality")).alias("perm_imp"),
+            F.stddev_pop(F.lit(reference) - F.col("quality")).alias("perm_imp_std"),
+        )
+        .select(F.element_at(lookup, F.col("f") + 1).alias("feature"), "perm_imp", "perm_imp_std")
+    )
+    return average_rank(durable(drops), "perm_imp", "perm_imp_rank") if rank else drops
+
+
+def useful_features(importance: DataFrame) -> DataFrame:
+    return importance.filter(F.col("perm_imp") > 0)
+
+
+SHAPLEY_ROWS = 500
+
+
+def sampled_shapley(model, df: DataFrame, keys: Sequence[str], names: Sequence[str], rows: int = SHAPLEY_ROWS,
+                    orderings: int = 4, binary: bool = True, seed: int = 42) -> DataFrame:
+    """Shapley values of a row sample by random feature orderings, each against a background row.
+
+    For one ordering, features switch one by one from the background row's value to the row's own value;
+    the change of the score at each switch is that feature's contribution. Contributions of one ordering
+    add up to score(row) - score(background row), so the averages add up to score(row) - mean background.
+    Returns (keys..., feature, shap, score, base).
+    """
+    sample = hash_sample(df.select(*keys, FEATURES), keys, rows, seed)
+    sample = durable(dense_index(sample.select(*keys, vector_to_array(FEATURES).alias("x")), keys,
+                                 portable_hash(seed + 1, *keys)))
+    size = sample.count()
+    width = len(names)
+    fanned = sample.select("*", F.explode(F.sequence(F.lit(0), F.lit(orderings - 1))).alias("o"))
+    step = portable_hash(seed, F.col("o").cast("string")) % max(size - 1, 1) + 1
+    partners = sample.select(F.col("__index").alias("partner"), F.col("x").alias("b"))
+    paired = fanned.withColumn("partner", (F.col("__index") + step) % size).join(partners, "partner")
+    # random order per (row, ordering): features sorted by a hash
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda i: F.struct(portable_hash(seed, *keys, F.col("o").cast("string"), i.cast("string")).alias("h"), i.alias("i")),
+    )
+    ordered = paired.select(
+        *keys, "o", "x", "b", F.transform(F.array_sort(drawn), lambda s: s["i"].cast("int")).alias("order")
+    )
+    steps = ordered.select("*", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("k"))
+    vectors = steps.select(
+        *keys,
+        "o",
+        "k",
+        F.when(F.col("k") > 0, F.element_at("order", F.greatest("k", F.lit(1)))).alias("switched"),
+        F.when(F.col("k") < width, F.element_at("order", F.least(F.col("k") + 1, F.lit(width)))).alias("upcoming"),
+        array_to_vector(
+            F.expr("transform(x, (v, i) -> IF(array_position(order, CAST(i AS INT)) <= k, v, element_at(b, CAST(i + 1 AS INT))))")
+        ).alias(FEATURES),
+    )
+    scored = score_column(model, vectors, "__score", binary)
+    gains = scored.select(
+        *keys,
+        F.inline(
+            F.array(
+                F.struct(F.col("switched").alias("f"), F.col("__score").alias("gain")),
+                F.struct(F.col("upcoming").alias("f"), (-F.col("__score")).alias("gain")),
+            )
+        ),
+        F.when(F.col("k") == width, F.col("__score")).alias("at_row"),
+        F.when(F.col("k") == 0, F.col("__score")).alias("at_base"),
+    )
+    per_feature = (
+        gains.filter(F.col("f").isNotNull()).groupBy(*keys, "f").agg((F.sum("gain") / orderings).alias("shap"))
+    )
+    ends = gains.groupBy(*keys).agg(F.avg("at_row").alias("score"), F.avg("at_base").alias("base"))
+    lookup = F.array(*[F.lit(c) for c in names])
+    return per_feature.join(ends, list(keys)).select(
+        *keys, F.element_at(lookup, F.col("f") + 1).alias("feature"), "shap", "score", "base"
+    )
+
+
+def shapley_summary(values: DataFrame, n: int = 20) -> DataFrame:
+    """Features by mean absolute contribution."""
+    means = values.groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
+    return top_features(means, "mean_abs_shap", n)
+
+
+def row_forces(values: DataFrame, n: int | None = None) -> DataFrame:
+    """Contributions of one explained row by absolute size, with the average rank of ties."""
+    one = durable(values.select("feature", F.col("shap").alias("importance"), F.abs("shap").alias("size")))
+    ranked = average_rank(one, "size", "rank").drop("size")
+    ordered = ranked.orderBy("rank", "feature")
+    return ordered if n is None else ordered.limit(n)
