@@ -48,6 +48,7 @@ class TreeParams:
             "featureSubsetStrategy": str(self.colsample),
             "maxBins": self.max_bins,
             "seed": self.seed,
+            "validationTol": self.validation_tol,
             **self.extra,
         }
 
@@ -86,12 +87,12 @@ def positive_probability(model_output: str = "probability") -> Column:
 
 def _classifier(params: TreeParams, validation: bool):
     est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, **params.spark())
-    return est.setValidationTol(params.validation_tol).setValidationIndicatorCol("is_valid") if validation else est
+    return est.setValidationIndicatorCol("is_valid") if validation else est
 
 
 def _regressor(params: TreeParams, validation: bool):
     est = GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, **params.spark())
-    return est.setValidationTol(params.validation_tol).setValidationIndicatorCol("is_valid") if validation else est
+    return est.setValidationIndicatorCol("is_valid") if validation else est
 
 
 def score_column(model, df: DataFrame, output: str, binary: bool) -> DataFrame:
