@@ -127,16 +127,18 @@ def sampled_shapley(model, df: DataFrame, keys: Sequence[str], names: Sequence[s
     ordered = paired.select(
         *keys, "o", "x", "b", F.transform(F.array_sort(drawn), lambda s: s["i"].cast("int")).alias("order")
     )
-    steps = ordered.select("*", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("k"))
+    # place[i] = step at which feature i switches
+    place = F.transform(
+        F.array_sort(F.transform("order", lambda i, r: F.struct(i.alias("i"), r.alias("r")))), lambda s: s["r"]
+    )
+    steps = ordered.select("*", place.alias("place")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("k"))
     vectors = steps.select(
         *keys,
         "o",
         "k",
         F.when(F.col("k") > 0, F.element_at("order", F.greatest("k", F.lit(1)))).alias("switched"),
         F.when(F.col("k") < width, F.element_at("order", F.least(F.col("k") + 1, F.lit(width)))).alias("upcoming"),
-        array_to_vector(
-            F.expr("transform(x, (v, i) -> IF(array_position(order, CAST(i AS INT)) <= k, v, element_at(b, CAST(i + 1 AS INT))))")
-        ).alias(FEATURES),
+        array_to_vector(F.expr("zip_with(arrays_zip(x, b), place, (v, r) -> IF(r < k, v.x, v.b))")).alias(FEATURES),
     )
     scored = score_column(model, vectors, "__score", binary)
     gains = scored.select(

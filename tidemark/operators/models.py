@@ -65,12 +65,13 @@ QUICK = TreeParams(n_estimators=8, learning_rate=0.3, max_depth=4, min_child_sam
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Feature vector with missing values as -1 plus a missing flag for columns that can be missing.
+    """Feature vector with missing values as -1 plus a missing flag for columns that have gaps.
 
     Spark ML trees reject NaN, so "missing" becomes an ordinary, separable value.
     """
     nullable = [f.name for f in df.schema.fields if f.name in set(features) and f.nullable]
-    flags = {f"{c}__isnull": F.col(c).isNull().cast("double") for c in nullable}
+    gaps = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in nullable]).first() if nullable else {}
+    flags = {f"{c}__isnull": F.col(c).isNull().cast("double") for c in nullable if gaps[c]}
     filled = df.select(
         *keep,
         *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(f"__f_{c}") for c in features],
