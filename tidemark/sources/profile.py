@@ -25,11 +25,15 @@ def events(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _customer_of(external_id: str) -> Column:
+    return F.floor(F.col(external_id) / 2) * 20
+
+
 def id_map(spark: SparkSession, directory: str) -> DataFrame:
     """External id -> (entity, customer): two external ids point at one customer."""
     users = table(spark, directory, "events").select(F.col("user_id").alias("external_id")).distinct()
     people = customers_with_entity(spark, directory).drop("c_mktsegment")
-    mapped = users.withColumn("analytical_customer_id", F.floor(F.col("external_id") / 2) * 20)
+    mapped = users.withColumn("analytical_customer_id", _customer_of("external_id"))
     return mapped.join(people, "analytical_customer_id").select(
         "global_entity_id", "external_id", "analytical_customer_id"
     )
@@ -80,8 +84,9 @@ def behaviour_profile(spark: SparkSession, directory: str, days: Sequence[dt.dat
             F.when(counts["error"] > 0, counts["error"]).alias("cc_sessions"),
         )
     )
-    entity = id_map(spark, directory).select("global_entity_id", "external_id")
-    return per_user.join(entity, "external_id").select(
+    people = customers_with_entity(spark, directory).select("global_entity_id", "analytical_customer_id")
+    owner = _customer_of("external_id") == F.col("analytical_customer_id")
+    return per_user.join(people, owner).select(
         "global_entity_id",
         "external_id",
         "calculation_date",
