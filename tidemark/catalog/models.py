@@ -132,3 +132,27 @@ def _(spark, sf):
 
     df = frame(spark, sf)
     return simulate_recall(df, [ID], PLANTED, inputs(df), PARAMS, seeds=3, fraction=0.5)
+
+
+@query("weekly_scoring")
+def _(spark, sf):
+    from tidemark.plans import scoring
+    from tidemark.session import scratch_path
+
+    rows = targets.with_targets(features.feature_table(spark, sf, RUN))
+    paths = scoring.scoring_run(
+        rows, scoring.quick_commerce_tasks(RUN, PARAMS), RUN, scratch_path(spark, "weekly"), parallelism=4
+    )
+    return spark.read.parquet(paths["predictions"])
+
+
+@query("dark_store_scoring")
+def _(spark, sf):
+    from tidemark.plans import scoring
+    from tidemark.session import scratch_path
+
+    rows = targets.with_dark_store_targets(features.feature_table(spark, sf, RUN, dark_stores=True))
+    paths = scoring.scoring_run(
+        rows, scoring.dark_store_tasks(RUN, PARAMS), RUN, scratch_path(spark, "dark"), parallelism=4
+    )
+    return spark.read.parquet(paths["metrics"])
