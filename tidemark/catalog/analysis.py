@@ -176,11 +176,10 @@ def _(spark, sf):
 
 def _histogram_sql(source: str, expr: str, bins: int, keys: str = "", condition: str = "true") -> str:
     key_list = f"{keys}, " if keys else ""
-    join = " AND ".join(["c.bin = g.bin"] + [f"c.{k} IS NOT DISTINCT FROM g.{k}" for k in keys.split(", ") if k])
     return f"""v AS (SELECT {key_list}{expr} AS v FROM {source} WHERE {expr} IS NOT NULL AND {condition}),
     e AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / {bins} AS w FROM v),
     c AS (SELECT {key_list}least(CAST(floor((v - lo) / w) AS INTEGER), {bins - 1}) AS bin, count(*) AS n FROM v, e GROUP BY ALL),
-    g AS (SELECT * FROM (SELECT {'DISTINCT ' + keys if keys else '1 AS one'} FROM v LIMIT {100 if keys else 1}), (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin)),
+    g AS (SELECT * FROM (SELECT {f'DISTINCT {keys} FROM v' if keys else '1 AS one'}), (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin)),
     t AS (SELECT {key_list}count(*) AS n_all FROM v GROUP BY ALL)"""
 
 
@@ -524,7 +523,6 @@ def _(spark, sf):
 
 
 _SEGMENTS = ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-_TYPES_SQL = "SELECT DISTINCT p_type FROM part"
 
 
 @query(

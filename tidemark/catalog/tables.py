@@ -226,13 +226,13 @@ def _(spark, sf):
 
 @query(
     "scan_in_list",
-    "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation "
-    "WHERE n_name IN ('NATION_3', 'NATION_7', 'NATION_21')",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS BIGINT) AS o_totalprice FROM "
+    "(SELECT o_orderkey, trunc(o_totalprice) AS o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))",
 )
 def _(spark, sf):
     return readers.scan_in_list(
-        table(spark, sf, "nation"), "n_name", ["NATION_3", "NATION_7", "NATION_21"],
-        {"n_nationkey": "string", "n_regionkey": "bigint"},
+        table(spark, sf, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"],
+        {"o_orderkey": "string", "o_totalprice": "bigint"},
     )
 
 
