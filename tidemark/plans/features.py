@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import frequency_per_4_weeks, gated, or_zero, safe_divide
@@ -77,20 +77,23 @@ def profile_rollup(mapped: DataFrame) -> DataFrame:
     )
 
 
+def _frequency() -> Column:
+    return frequency_per_4_weeks("order_count_lifetime_vert_qc", "days_since_first_order_vert_qc")
+
+
 def attach_behaviour(cohort: DataFrame, rolled: DataFrame, fix_session_avg: bool = False) -> DataFrame:
     """Left join on the customer key; cohort columns stay as they are.
 
     `visit_session_dur_avg_l04w` carries the zero-filled *sum* unless `fix_session_avg` asks for the
     real average.
     """
+    if "order_freq_4w_vert_qc" not in cohort.columns:
+        cohort = cohort.withColumn("order_freq_4w_vert_qc", _frequency())
     active = F.col("order_count_l04w_vert_rs")
     average = F.col("visit_session_dur_avg_l04w") if fix_session_avg else F.col("visit_session_dur_sum_l04w")
     joined = cohort.join(rolled.drop("first_order_timestamp"), list(KEYS), "left")
     return joined.select(
         *[F.col(c) for c in cohort.columns],
-        frequency_per_4_weeks("order_count_lifetime_vert_qc", "days_since_first_order_vert_qc").alias(
-            "order_freq_4w_vert_qc"
-        ),
         *[F.col(c) for c in AS_IS],
         *[or_zero(c).alias(c) for c in ZERO_FILLED],
         F.coalesce(average, F.lit(0.0)).alias("visit_session_dur_avg_l04w"),
@@ -127,10 +130,10 @@ def assemble_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, fi
     if run.entity is not None:
         snapshot, rolled = snapshot.filter(in_entity(run.entity)), rolled.filter(in_entity(run.entity))
     flat = flatten_features(snapshot, run.as_of, dark_stores=dark_stores)
-    cohort = flat.filter(
-        active_cohort(F.col("first_order_date_vert_rs"), F.col("last_order_date_vert_rs"), run.as_of)
-    ).drop(*INTERNAL)
-    return attach_behaviour(cohort, rolled, fix_session_avg).filter(within_usual_range())
+    active = active_cohort(F.col("first_order_date_vert_rs"), F.col("last_order_date_vert_rs"), run.as_of)
+    # every test reads cohort columns only, so rows leave before the join
+    cohort = flat.withColumn("order_freq_4w_vert_qc", _frequency()).filter(active & within_usual_range())
+    return attach_behaviour(cohort.drop(*INTERNAL), rolled, fix_session_avg)
 
 
 def assemble_stage_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, strict: bool = False) -> DataFrame:
@@ -138,16 +141,16 @@ def assemble_stage_features(snapshot: DataFrame, rolled: DataFrame, run: RunPara
     if run.entity is not None:
         snapshot, rolled = snapshot.filter(in_entity(run.entity)), rolled.filter(in_entity(run.entity))
     flat = flatten_features(snapshot, run.as_of, local_stores=True, dark_stores=True)
-    cohort = flat.filter(
-        conversion_cohort(
-            F.col("first_order_date_vert_rs"),
-            F.col("last_order_date_vert_rs"),
-            F.col("first_order_date_vert_dmart"),
-            run.as_of,
-            strict=strict,
-        )
-    ).drop(*INTERNAL)
-    return attach_behaviour(cohort, rolled).filter(within_usual_range(require_coverage=False))
+    moved = conversion_cohort(
+        F.col("first_order_date_vert_rs"),
+        F.col("last_order_date_vert_rs"),
+        F.col("first_order_date_vert_dmart"),
+        run.as_of,
+        strict=strict,
+    )
+    usual = within_usual_range(require_coverage=False)
+    cohort = flat.withColumn("order_freq_4w_vert_qc", _frequency()).filter(moved & usual)
+    return attach_behaviour(cohort.drop(*INTERNAL), rolled)
 
 
 def feature_table(spark: SparkSession, directory: str, run: RunParams, fix_session_avg: bool = False,
