@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import table
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.simhash import components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +40,20 @@ def query(name: str, sql: str | None = None) -> Callable:
 )
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op3_simhash_dedup")
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = components(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_bpe_encode_decode")
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_decode(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
