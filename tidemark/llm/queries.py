@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import langid, quality
 from tidemark.llm.bpe import encode_decode
-from tidemark.llm.common import table
+from tidemark.llm.common import remainder, table
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.simhash import components
 
@@ -48,6 +49,18 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+KEEP_QUALITY = 0.3  # least score of a document that is predicted to be good
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    net = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    rows = quality.score(docs, net, keep=[F.col("doc_id"), held_out.alias("held_out")])
+    return rows.withColumn("predicted", (F.col("score") >= KEEP_QUALITY).cast("int"))
+
+
 @query("op8_bpe_encode_decode")
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode_decode(table(spark, sf_dir, "documents"))
@@ -57,3 +70,11 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    model = langid.fit(docs.filter(~held_out))
+    return langid.identify(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("cross_entropy")
