@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, quality
+from tidemark.llm import hnsw, langid, quality
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import remainder, table
 from tidemark.llm.exact_dedup import exact_duplicates
@@ -49,6 +49,12 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_hnsw_search")
+def op5_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graphs = hnsw.index(table(spark, sf_dir, "embeddings"))
+    return hnsw.search(graphs, hnsw.queries_of(graphs, lambda vec_id: vec_id % 20 == 0), k=20)
+
+
 KEEP_QUALITY = 0.3  # least score of a document that is predicted to be good
 
 
