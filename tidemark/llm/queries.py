@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hnsw, langid, quality
+from tidemark.llm import hnsw, langid, quality, token_files
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import remainder, table
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.simhash import components
+from tidemark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,6 +56,13 @@ def op5_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(graphs, hnsw.queries_of(graphs, lambda vec_id: vec_id % 20 == 0), k=20)
 
 
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), out)
+    return token_files.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 KEEP_QUALITY = 0.3  # least score of a document that is predicted to be good
 
 
