@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, hnsw, langid, quality, token_files
+from tidemark.llm import chat, context_tree, hnsw, langid, quality, token_files
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import remainder, table
 from tidemark.llm.exact_dedup import exact_duplicates
@@ -84,6 +84,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_context_tree_scores")
+def op4_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+
+
 @query("op5_hnsw_search")
 def op5_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     graphs = hnsw.index(table(spark, sf_dir, "embeddings"))
