@@ -39,7 +39,7 @@ def test_pieces_against_brute_force():
 
 def test_special_texts():
     model = langid.learn({"x": [langid.folded(["one two three"])[0]]})
-    names, score, _ = langid.predict(model, [None, "", "12 !", "two", "Ünknown"])
+    names, score, *_ = langid.predict(model, [None, "", "12 !", "two", "Ünknown"])
     assert names == ["und", "und", "und", "x", "x"] and score.tolist() == [0, 0, 0, 1, 1]
     nothing = langid.learn({})
     assert langid.predict(nothing, ["a", None])[0] == ["und", "und"]

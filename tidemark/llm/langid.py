@@ -168,21 +168,23 @@ def pieces(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     return total, lengths
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and cross entropy (bits a symbol) of each text."""
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, mean length of a piece and number of symbols of each text."""
     if not model.languages:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        none = np.zeros(len(texts))
+        return [UNDETERMINED] * len(texts), none, none, none.astype(np.int64)
     counts, lengths = pieces(model, texts)
     bits = counts * model.costs / np.maximum(lengths, 1)[:, None]
     best = np.argmin(bits, axis=1)
-    least = bits[np.arange(len(texts)), best]
+    rows = np.arange(len(texts))
+    least = bits[rows, best]
     others = bits.copy()
-    others[np.arange(len(texts)), best] = np.inf
+    others[rows, best] = np.inf
     second = others.min(axis=1)
     score = np.where(np.isinf(second), 1.0, 1 - least / np.maximum(second, 1e-300))
     known = lengths > 0
     names = [model.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-    return names, np.where(known, np.clip(score, 0, 1), 0.0), np.where(known, least, 0.0)
+    return names, np.where(known, np.clip(score, 0, 1), 0.0), lengths / np.maximum(counts[rows, best], 1), lengths
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -206,15 +208,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """The columns `keep` of every row, with lang_pred, score and cross_entropy."""
+    """The columns `keep` of every row, with lang_pred, score, mean_piece and symbols."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 2 * SAMPLE rows of SYMBOLS for each of LANGUAGES
     rows = docs.select(col(text).cast("string").alias("text"), F.struct(*keep).alias("row"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, mean_piece double, symbols bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, SLICE):
-            names, score, bits = predict(shared.value, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(bits)], ["row", "lang_pred", "score", "cross_entropy"])
+            names, *numbers = predict(shared.value, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), *map(pa.array, numbers)], ["row", "lang_pred", "score", "mean_piece", "symbols"])
 
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "cross_entropy")
+    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "mean_piece", "symbols")

@@ -11,6 +11,7 @@ from tidemark.llm import chat, context_tree, hnsw, langid, quality, token_files
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import remainder, table
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.packing import best_fit
 from tidemark.llm.simhash import components
 from tidemark.session import durable, scratch_path
 
@@ -130,4 +131,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 3) == 1
     model = langid.fit(docs.filter(~held_out))
-    return langid.identify(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("cross_entropy")
+    return langid.identify(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("mean_piece", "symbols")
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it imports this folder
+
+    return corpus_pipeline.run(spark, sf_dir)
