@@ -13,14 +13,16 @@ from tidemark.operators.ordering import RANGE, running_totals
 from tidemark.session import durable
 
 RARE = "OTHER_HIGH_CARDINALITY"
-MAX_ONE_HOT_VALUES = 500
+
+
+def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(pairs)).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value as text, rows) for every non-NULL value of every column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
-    long = df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-    return durable(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    return durable(_counted(df, columns).filter(F.col("value").isNotNull()))
 
 
 def _of(values: DataFrame, column: str) -> DataFrame:
@@ -104,15 +106,15 @@ def label_encode(df: DataFrame, columns: Sequence[str], drop: bool = False) -> t
 def one_hot(df: DataFrame, columns: Sequence[str], min_share: float = 0.03) -> tuple[DataFrame, list[str]]:
     """0/1 columns for frequent values (share of *all* rows); NULL gives zeros everywhere.
 
-    Columns with more than MAX_ONE_HOT_VALUES values are left out, so the driver sees at most that many
-    values per column. Running it twice replaces the columns instead of adding them again.
+    At most 1 / min_share values of a column are frequent, however many it has, so the driver sees a bounded list.
+    Running it twice replaces the columns instead of adding them again.
     """
-    values = value_table(df, columns)
-    total = df.count()
-    sizes = {r["feature"]: r["k"] for r in values.groupBy("feature").agg(F.count("*").alias("k")).collect()}
-    usable = [c for c in columns if sizes.get(c, 0) <= MAX_ONE_HOT_VALUES]
-    frequent = values.filter(F.col("feature").isin(*usable) & (F.col("n") / F.lit(total) >= min_share))
-    kept = sorted((r["feature"], r["value"]) for r in frequent.collect()) if usable else []
+    if min_share <= 0:
+        raise ValueError("min_share bounds the number of columns and must be positive")
+    counted = durable(_counted(df, columns))
+    frequent = counted.groupBy("feature").agg(F.sum("n").alias("total")).join(counted, "feature")
+    frequent = frequent.filter(F.col("value").isNotNull() & (F.col("n") / F.col("total") >= min_share))
+    kept = sorted((r["feature"], r["value"]) for r in frequent.collect())
     new = {
         f"ft_{c}__one_hot__{v}": F.coalesce((F.col(c).cast("string") == v).cast("int"), F.lit(0)) for c, v in kept
     }

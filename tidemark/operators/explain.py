@@ -43,28 +43,19 @@ def permutation_importance(model, df: DataFrame, keys: Sequence[str], names: Seq
                            binary: bool = True, rank: bool = False, seed: int = 42) -> DataFrame:
     """Score drop when one feature is shuffled: accuracy for classifiers, r2 for regressors.
 
-    Rows are numbered in key-hash order, which is a random order; each (feature, iteration) reads its
-    value from the row a hash-drawn distance further on. That is a permutation, needs one equi-join for
-    all features and iterations, and never moves a column through the driver.
+    Rows are numbered in key-hash order, which is a random order; in each iteration every feature reads its
+    value from the row a hash-drawn distance further on, which is a permutation. Rows meet their partners in one
+    equi-join, once for each iteration; the fan-out over features comes after it, in the stage that scores.
     """
     indexed = durable(dense_index(df.select(*keys, LABEL, FEATURES), keys, portable_hash(seed, *keys)))
     n = indexed.count()
     base = indexed.select("__index", LABEL, vector_to_array(FEATURES).alias("x"))
-    jobs = F.inline(
-        F.arrays_zip(
-            F.flatten(F.array_repeat(F.sequence(F.lit(0), F.lit(len(names) - 1)), n_iter)).alias("f"),
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(n_iter - 1)), lambda i: F.array_repeat(i, len(names))
-                )
-            ).alias("it"),
-        )
-    )
-    fanned = base.select("__index", LABEL, "x", jobs)
-    shift = portable_hash(seed, F.col("f").cast("string"), F.col("it").cast("string")) % max(n - 1, 1) + 1
-    fanned = fanned.withColumn("partner", (F.col("__index") + shift) % n)
+    drawn = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("it"))
+    shift = portable_hash(seed, F.lit("shift"), F.col("it").cast("string")) % max(n - 1, 1) + 1
+    drawn = drawn.withColumn("partner", (F.col("__index") + shift) % n)
     partners = base.select(F.col("__index").alias("partner"), F.col("x").alias("other"))
-    shuffled = fanned.join(partners, "partner").select(
+    paired = drawn.join(partners, "partner")
+    shuffled = paired.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("f")).select(
         "f",
         "it",
         LABEL,
@@ -98,19 +89,18 @@ def useful_features(importance: DataFrame) -> DataFrame:
     return importance.filter(F.col("perm_imp") > 0)
 
 
-SHAPLEY_ROWS = 500
-
-
-def sampled_shapley(model, df: DataFrame, keys: Sequence[str], names: Sequence[str], rows: int = SHAPLEY_ROWS,
+def sampled_shapley(model, df: DataFrame, keys: Sequence[str], names: Sequence[str], rows: int | None = None,
                     orderings: int = 4, binary: bool = True, seed: int = 42) -> DataFrame:
-    """Shapley values of a row sample by random feature orderings, each against a background row.
+    """Shapley values by random feature orderings, each against a background row; of all rows, or of `rows` sampled ones.
 
     For one ordering, features switch one by one from the background row's value to the row's own value;
     the change of the score at each switch is that feature's contribution. Contributions of one ordering
     add up to score(row) - score(background row), so the averages add up to score(row) - mean background.
     Returns (keys..., feature, shap, score, base).
     """
-    sample = hash_sample(df.select(*keys, FEATURES), keys, rows, seed)
+    sample = df.select(*keys, FEATURES)
+    if rows is not None:
+        sample = hash_sample(sample, keys, rows, seed)
     sample = durable(dense_index(sample.select(*keys, vector_to_array(FEATURES).alias("x")), keys,
                                  portable_hash(seed + 1, *keys)))
     size = sample.count()

@@ -234,16 +234,17 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int, m
 
 
 KMEANS_SIZES = (10, 20, 50, 100)
-KMEANS_FIT_ROWS = 100_000
 
 
 def kmeans_clusters(df: DataFrame, keys: Sequence[str], sizes: Sequence[int] = KMEANS_SIZES,
-                    fit_rows: int = KMEANS_FIT_ROWS, x: str = "cust_lat", y: str = "cust_long",
+                    fit_rows: int | None = None, x: str = "cust_lat", y: str = "cust_long",
                     seed: int = 42) -> DataFrame:
-    """Add `cluster_kmeans_<k>`: centres are fitted on a hash sample of `fit_rows` rows, all rows are labelled."""
+    """Add `cluster_kmeans_<k>`: centres are fitted on all placed rows, or on a hash sample of `fit_rows` of them."""
     assembler = VectorAssembler(inputCols=[x, y], outputCol="__position")
     placed = assembler.transform(df.dropna(subset=[x, y]))
-    sample = durable(hash_sample(placed.select(*keys, x, y, "__position"), keys, fit_rows, seed))
+    sample = durable(placed.select(*keys, x, y, "__position"))
+    if fit_rows is not None:
+        sample = durable(hash_sample(sample, keys, fit_rows, seed))
     for k in sizes:
         model = KMeans(
             k=k, seed=seed, featuresCol="__position", predictionCol=f"cluster_kmeans_{k}"

@@ -19,10 +19,19 @@ from tidemark.functions.hashing import HASH_RANGE
 RANGE = "__range"
 
 
+ROWS_PER_RANGE = 1 << 20
+
+
+def number_of_ranges(rows: int, least: int = 8) -> int:
+    """As many ranges as hold about ROWS_PER_RANGE rows each, so a task stays the same size as the data grows."""
+    return max(least, -(-rows // ROWS_PER_RANGE))
+
+
 def range_limits(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> dict[str, list[float]]:
-    """Inner limits per column, at most `ranges - 1` doubles each (one bounded action for all columns)."""
+    """Inner limits per column, `ranges - 1` doubles each at most (one action for all columns)."""
     if ranges is None:
-        ranges = max(8, min(2048, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+        ranges = number_of_ranges(df.count(), min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+        ranges = max(8, ranges)
     steps = [i / ranges for i in range(1, ranges)]
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     found = doubles.approxQuantile(list(columns), steps, 1 / (4 * ranges))
@@ -39,7 +48,7 @@ def with_range(df: DataFrame, column: str, limits: Sequence[float], output: str
     return Bucketizer(splits=edges, inputCol=probe, outputCol=output).transform(prepared).drop(probe)
 
 
-def hash_range(column: Column, ranges: int = 256) -> Column:
+def hash_range(column: Column, ranges: int) -> Column:
     """Range number of a 32-bit hash: hashes are uniform, so equal widths are balanced."""
     return F.floor(column / F.lit(HASH_RANGE / ranges)).cast("double")
 
@@ -96,8 +105,10 @@ def quantiles_of_ranged(ranged: DataFrame, probabilities: Mapping[str, float], b
     return totals.groupBy(*by).agg(*[_interpolated(F.col("__v"), p).alias(name) for name, p in probabilities.items()])
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], hashed: Column, output: str = "__index", ranges: int = 256) -> DataFrame:
+def dense_index(df: DataFrame, keys: Sequence[str], hashed: Column, output: str = "__index", ranges: int | None = None) -> DataFrame:
     """Number rows 0..n-1 in hash order; `keys` are unique and settle equal hashes."""
+    if ranges is None:
+        ranges = number_of_ranges(df.count())
     marked = df.select("*", hashed.alias("__hash"), F.lit(1).cast("bigint").alias("__one"))
     marked = marked.withColumn(RANGE, hash_range(F.col("__hash"), ranges))
     numbered = running_totals(marked, ["__hash", *keys], ["__one"])

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import RANGE, quantiles, quantiles_of_ranged, range_limits, with_range
+from tidemark.session import durable
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows and share per value (NULL included)."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select(column, "n", (F.col("n") / total).alias("share"))
 
 
