@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,69 @@ def test_refit_scores_only_the_predict_rows(planted):
     scored, _model, _names = models.refit_and_score(rows, KEYS, "b", "population", FEATURES, models.QUICK, 3, "p")
     got = scored.agg(F.count("*"), F.count("p"), F.min(F.when(F.col("p").isNotNull(), F.col("id")))).first()
     assert tuple(got) == (600, 150, 300)
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    """1000 rows whose target follows from `a` and `b`, with noise."""
+    rows = spark.range(1000).select("id", *[(portable_hash(k, "id") % 1000 / 1000).alias(c) for k, c in enumerate("abc")])
+    noise = portable_hash(9, "id") % 1000 / 2000
+    rows = rows.withColumn("v", F.sin(F.col("a") * 6) + F.col("b") * F.col("b") * 2 + noise)
+    return rows.withColumn("y", (F.col("v") > 1.4).cast("int"))
+
+
+def test_patience_keeps_useful_rounds(large):
+    from tidemark.session import durable
+
+    rows = durable(large)
+    # All of the real settings but the last rounds: each costs seven small jobs, and these suffice to see the point.
+    params = replace(models.VALUE, n_estimators=60, max_depth=3)
+    valid, model, names = models.fit_single(rows, KEYS, "v", FEATURES, params, False, "p")
+    got = metrics.regression_metrics(durable(valid), "v", "p").first()
+    assert model.getNumTrees > 20 and got["r2"] > 0.5
+    tomorrow, again = models.assemble(rows.withColumn("a", F.lit(None).cast("double")), FEATURES, KEYS, names)
+    assert again == names and tomorrow.count() == 1000
+
+
+@pytest.mark.parametrize("params", [models.ORGANIC_OOF, models.GENERAL_OOF])
+def test_patience_of_classifiers(large, params):
+    from tidemark.session import durable
+
+    params = replace(params, n_estimators=40, max_depth=3)
+    valid, model, _names = models.fit_single(durable(large), KEYS, "y", FEATURES, params, True, "p")
+    got = metrics.binary_metrics(durable(valid), "y", "p").first()
+    assert model.getNumTrees > 20 and got["roc_auc"] > 0.9
+    positives = valid.agg(F.sum("y"), F.count("*")).first()
+    share = large.agg(F.avg("y")).first()[0]
+    assert abs(positives[1] - 200) <= 1 and abs(positives[0] - share * 200) <= 1
+
+
+def test_patience_goes_back_to_the_best_round(monkeypatch):
+    class Fake:
+        def __init__(self, rounds):
+            self.rounds = rounds
+
+        def fit(self, _rows):
+            return self
+
+        def evaluateEachIteration(self, _rows, _loss=None):  # noqa: N802
+            return [abs(i + 1 - 57) for i in range(self.rounds)]
+
+    trained = []
+    monkeypatch.setattr(models, "boosting", lambda _params, _binary, rounds: trained.append(rounds) or Fake(rounds))
+    assert models.stopped_early(models.VALUE, False, None, None).rounds == 57
+    assert trained == [32, 64, 128, 57]
+
+
+def test_every_training_row_is_scored_by_a_model_that_did_not_see_it(planted):
+    seen = []
+
+    def trainer(rows):
+        seen.append({r.id for r in rows.filter("NOT is_valid").select("id").collect()})
+        return models.logistic_regression(maxIter=3)(rows)
+
+    scored, _fitted, _names = models.out_of_fold(planted, KEYS, "y", FEATURES, trainer, folds=3, parallelism=1)
+    by_fold = {}
+    for r in scored.select("id", "fold").collect():
+        by_fold.setdefault(r.fold, set()).add(r.id)
+    assert all(not seen[fold] & ids for fold, ids in by_fold.items())

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import portable_hash
-from tidemark.operators.sampling import split_label
+from tidemark.operators.sampling import split_exact, split_label
 from tidemark.session import durable
 
 FEATURES = "features"
@@ -35,7 +35,7 @@ class TreeParams:
     colsample: float = 0.8
     max_bins: int = 32
     seed: int = 42
-    validation_tol: float = 0.01
+    patience: int = 20
     extra: dict = field(default_factory=dict)
 
     def spark(self) -> dict:
@@ -48,7 +48,6 @@ class TreeParams:
             "featureSubsetStrategy": str(self.colsample),
             "maxBins": self.max_bins,
             "seed": self.seed,
-            "validationTol": self.validation_tol,
             **self.extra,
         }
 
@@ -60,18 +59,27 @@ ORGANIC_SINGLE = TreeParams(2000, 0.05, 7, 100)
 ORGANIC_OOF = TreeParams(1000, 0.05, 7, 100)
 VALUE = TreeParams(2000, 0.02, 7, 100)
 
-# A small setting for checks on little data.
+# A setting with fewer rounds, each going further, for checks on little data.
 QUICK = TreeParams(n_estimators=8, learning_rate=0.3, max_depth=4, min_child_samples=5)
 
 
-def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
+FLAG = "__isnull"
+
+
+def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str],
+             names: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Feature vector with missing values as -1 plus a missing flag for columns that have gaps.
 
-    Spark ML trees reject NaN, so "missing" becomes an ordinary, separable value.
+    Spark ML trees reject NaN, so "missing" becomes an ordinary, separable value. Without `names` the columns with
+    gaps in `df` get a flag; with the names of a fitted model its flags are used, so it scores other rows alike.
     """
-    nullable = [f.name for f in df.schema.fields if f.name in set(features) and f.nullable]
-    gaps = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in nullable]).first() if nullable else {}
-    flags = {f"{c}__isnull": F.col(c).isNull().cast("double") for c in nullable if gaps[c]}
+    if names is None:
+        nullable = [f.name for f in df.schema.fields if f.name in set(features) and f.nullable]
+        gaps = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in nullable]).first() if nullable else {}
+        flagged = [c for c in nullable if gaps[c]]
+    else:
+        flagged = [n.removesuffix(FLAG) for n in names if n.endswith(FLAG)]
+    flags = {f"{c}{FLAG}": F.col(c).isNull().cast("double") for c in flagged}
     filled = df.select(
         *keep,
         *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(f"__f_{c}") for c in features],
@@ -86,14 +94,30 @@ def positive_probability(model_output: str = "probability") -> Column:
     return vector_to_array(F.col(model_output)).getItem(1)
 
 
-def _classifier(params: TreeParams, validation: bool):
-    est = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, **params.spark())
-    return est.setValidationIndicatorCol("is_valid") if validation else est
+FIRST_BLOCK = 32  # rounds of the first training; every further one doubles them
+
+
+def boosting(params: TreeParams, binary: bool, rounds: int | None = None):
+    """The estimator, for `rounds` rounds or all."""
+    kind = GBTClassifier if binary else GBTRegressor
+    settings = params.spark() if rounds is None else replace(params, n_estimators=rounds).spark()
+    return kind(featuresCol=FEATURES, labelCol=LABEL, **settings)
+
 
+def stopped_early(params: TreeParams, binary: bool, train: DataFrame, valid: DataFrame):
+    """Boosting that ends `patience` rounds after the best round on `valid`, cut back to the best round.
 
-def _regressor(params: TreeParams, validation: bool):
-    est = GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, **params.spark())
-    return est.setValidationIndicatorCol("is_valid") if validation else est
+    Spark ML stops at the first small step, so training runs in growing blocks from one seed (their trees are the
+    same), the error of every round is read from the model, and the best number of rounds is trained in the end.
+    """
+    rounds = min(FIRST_BLOCK, params.n_estimators)
+    while True:
+        model = boosting(params, binary, rounds).fit(train)
+        errors = model.evaluateEachIteration(valid) if binary else model.evaluateEachIteration(valid, "squared")
+        best = min(range(len(errors)), key=lambda i: (errors[i], i)) + 1
+        if best + params.patience <= rounds or rounds >= params.n_estimators:
+            return model if best == rounds else boosting(params, binary, best).fit(train)
+        rounds = min(2 * rounds, params.n_estimators)
 
 
 def score_column(model, df: DataFrame, output: str, binary: bool) -> DataFrame:
@@ -103,18 +127,24 @@ def score_column(model, df: DataFrame, output: str, binary: bool) -> DataFrame:
     return scored.withColumn(output, value).drop("rawPrediction", "probability", "prediction")
 
 
-def train_valid(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    return df.withColumn("is_valid", split_label(keys, seed) == "valid")
+def train_valid(df: DataFrame, keys: Sequence[str], seed: int = 42, stratum: str | None = None) -> DataFrame:
+    """80/20 by key hash; with `stratum` exactly so in each of its classes."""
+    if stratum is None:
+        return df.withColumn("is_valid", split_label(keys, seed) == "valid")
+    return split_exact(df, keys, stratum, seed).withColumn("is_valid", F.col("split") == "valid").drop("split")
 
 
 def fit_single(df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], params: TreeParams,
                binary: bool, output: str, floor: float | None = None):
-    """80/20 split, early stop on the validation part; returns validation rows with scores, model, names."""
+    """80/20 split (by class for classifiers), early stop on the validation part.
+
+    Returns validation rows with scores, model, names.
+    """
     vectors, names = assemble(
-        train_valid(df, keys), features, [*keys, target, "is_valid"]
+        train_valid(df, keys, stratum=target if binary else None), features, [*keys, target, "is_valid"]
     )
     vectors = durable(vectors.withColumn(LABEL, F.col(target).cast("double")))
-    model = (_classifier if binary else _regressor)(params, True).fit(vectors)
+    model = boosted_trees(params, binary)(vectors)
     valid = score_column(model, vectors.filter("is_valid"), output, binary)
     if floor is not None:
         valid = valid.withColumn(output, F.greatest(F.col(output), F.lit(floor)))
@@ -129,30 +159,37 @@ def refit_and_score(df: DataFrame, keys: Sequence[str], target: str, population:
     """
     vectors, names = assemble(df, features, [*keys, target, population])
     vectors = durable(vectors.withColumn(LABEL, F.col(target).cast("double")))
-    rounds = replace(params, n_estimators=best_iteration + 10)
-    model = _regressor(rounds, False).fit(vectors.filter(F.col(population) == "train"))
+    model = boosting(params, False, best_iteration + 10).fit(vectors.filter(F.col(population) == "train"))
     scored = score_column(model, vectors, output, binary=False)
     only = F.when(F.col(population) == "predict", F.col(output))
     return scored.withColumn(output, only).drop(LABEL, FEATURES), model, names
 
 
 def boosted_trees(params: TreeParams, binary: bool = True) -> Callable:
-    """Estimator factory for the out-of-fold harness."""
-    return lambda: (_classifier if binary else _regressor)(params, True)
+    """Trainer on rows with `is_valid`: stops early on the valid ones; without any it runs to the last round."""
+
+    def train(rows: DataFrame):
+        learning, valid = rows.filter("NOT is_valid"), rows.filter("is_valid")
+        if valid.isEmpty():
+            return boosting(params, binary).fit(learning)
+        return stopped_early(params, binary, learning, valid)
+
+    return train
 
 
 def logistic_regression(**params) -> Callable:
-    return lambda: LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, **params)
+    """Trainer on all rows but the valid ones."""
+    return lambda rows: LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, **params).fit(rows.filter("NOT is_valid"))
 
 
-def out_of_fold(df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], estimator: Callable,
+def out_of_fold(df: DataFrame, keys: Sequence[str], target: str, features: Sequence[str], trainer: Callable,
                 population: str | None = None, folds: int = 5, seed: int = 41, suffix: str = "_model_1",
-                binary: bool = True, parallelism: int = 2):
+                binary: bool = True, parallelism: int = 2, early_stop: bool = True):
     """k models; every training row is scored by the model that did not see it.
 
     Rows of the "predict" population get the mean of all k models; without `population` every row trains.
     Fold i is scored, fold i+1 stops the training early, so the scored fold never steers its own model
-    (with two folds there is no third one to spare, and training runs to its last round).
+    (with two folds, or without `early_stop`, all other folds train, to the last round).
     Returns the rows with `preds_oof_<suffix>`, the models, and the feature names.
     """
     output = f"preds_oof_{suffix}"
@@ -168,14 +205,8 @@ def out_of_fold(df: DataFrame, keys: Sequence[str], target: str, features: Seque
     train = vectors.filter(F.col("__role") == "train")
 
     def fit(i: int):
-        est = estimator()
-        if est.hasParam("validationIndicatorCol") and folds > 2:
-            rest = train.filter(F.col("fold") != i).withColumn("is_valid", F.col("fold") == (i + 1) % folds)
-        else:
-            rest = train.filter(F.col("fold") != i).withColumn("is_valid", F.lit(False))
-            if est.hasParam("validationIndicatorCol"):
-                est.clear(est.getParam("validationIndicatorCol"))
-        return est.fit(rest)
+        stops = F.col("fold") == (i + 1) % folds if folds > 2 and early_stop else F.lit(False)
+        return trainer(train.filter(F.col("fold") != i).withColumn("is_valid", stops))
 
     with ThreadPoolExecutor(parallelism) as pool:
         models = list(pool.map(fit, range(folds)))

@@ -16,12 +16,12 @@ def simulate_recall(df: DataFrame, keys: Sequence[str], target: str, features: S
                     params: models.TreeParams, seeds: int = 30, fraction: float = 0.07,
                     parallelism: int = 3) -> DataFrame:
     """Recall per seed. Samples differ by seed, the train/validation split is the same for all."""
-    vectors, _names = models.assemble(models.train_valid(df, keys), features, [*keys, target, "is_valid"])
+    vectors, _names = models.assemble(models.train_valid(df, keys, stratum=target), features, [*keys, target, "is_valid"])
     vectors = durable(vectors.withColumn(models.LABEL, F.col(target).cast("double")))
 
     def run(seed: int) -> DataFrame:
         sample = sampling.undersample(vectors, target, keys, fraction, seed)
-        model = models.boosted_trees(params)().fit(sample)
+        model = models.boosted_trees(params)(sample)
         valid = models.score_column(model, sample.filter("is_valid"), "score", True)
         return valid.select(F.lit(seed).alias("seed"), target, "score")
 

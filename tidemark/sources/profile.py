@@ -25,18 +25,21 @@ def events(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def events_between(spark: SparkSession, directory: str, first: dt.date, last: dt.date) -> DataFrame:
+    """Events of whole days. The bounds are literals on the stored column, so the scan skips what lies outside."""
+    bounds = [F.lit(str(day)).cast("timestamp_ntz") for day in (first, last + dt.timedelta(days=1))]
+    return events(spark, directory).filter((F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1]))
+
+
 def _customer_of(external_id: str) -> Column:
     return F.floor(F.col(external_id) / 2) * 20
 
 
 def id_map(spark: SparkSession, directory: str) -> DataFrame:
-    """External id -> (entity, customer): two external ids point at one customer."""
-    users = table(spark, directory, "events").select(F.col("user_id").alias("external_id")).distinct()
-    people = customers_with_entity(spark, directory).drop("c_mktsegment")
-    mapped = users.withColumn("analytical_customer_id", _customer_of("external_id"))
-    return mapped.join(people, "analytical_customer_id").select(
-        "global_entity_id", "external_id", "analytical_customer_id"
-    )
+    """External id -> (entity, customer): two external ids point at one customer. Reads no events."""
+    people = customers_with_entity(spark, directory).filter(F.col("analytical_customer_id") % 20 == 0)
+    first = (F.col("analytical_customer_id") / 10).cast("bigint")
+    return people.select("global_entity_id", F.explode(F.array(first, first + 1)).alias("external_id"), "analytical_customer_id")
 
 
 def _count_if(condition: Column) -> Column:
@@ -45,7 +48,7 @@ def _count_if(condition: Column) -> Column:
 
 def behaviour_profile(spark: SparkSession, directory: str, days: Sequence[dt.date]) -> DataFrame:
     """One row per (entity, external id, calculation date), with 4 and 12 week attributes."""
-    stream = events(spark, directory)
+    stream = events_between(spark, directory, min(days) - dt.timedelta(days=83), max(days))
     if len(days) == 1:
         dated = stream.withColumn("calculation_date", F.lit(days[0]))
     else:
@@ -54,35 +57,55 @@ def behaviour_profile(spark: SparkSession, directory: str, days: Sequence[dt.dat
     recent = (age >= 0) & (age < 28)
     kind = {name: recent & (F.col("event_type") == name) for name in ("view", "click", "purchase", "error")}
     k = F.col("k")
-    counts = {name: _count_if(condition) for name, condition in kind.items()}
-    n_recent = _count_if(recent)
-    duration = F.sum(F.when(recent, F.col("value_cents"))) / F.lit(CENTS)
     stars = k % 5 + 1
-    per_user = (
-        dated.filter((age >= 0) & (age < 84))
-        .groupBy("external_id", "calculation_date")
-        .agg(
-            F.max("ts").alias("timestamp"),
-            F.countDistinct(F.when(kind["view"], k)).alias("vendors_viewed"),
-            safe_divide(F.sum(F.when(recent, k)), n_recent).alias("vendors_available"),
-            F.countDistinct(F.when(recent, F.floor(k / 25))).alias("addresses"),
-            F.countDistinct(F.when(recent, F.col("event_date"))).alias("visits_4w"),
-            F.countDistinct(F.col("event_date")).alias("visits_12w"),
-            duration.alias("session_duration"),
-            safe_divide(duration, n_recent).alias("interaction_speed"),
-            (1 - safe_divide(counts["purchase"], counts["click"])).alias("abandoned_cart_rate"),
-            safe_divide(counts["error"], n_recent).alias("search_fail_rate"),
-            safe_divide(counts["error"], counts["purchase"]).alias("voucher_error_rate"),
-            F.when(
-                F.col("external_id") % 10 != 9,
-                F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))),
-            ).alias("first_order_timestamp"),
-            safe_divide(_count_if(kind["purchase"] & (k % 2 == 0)), counts["purchase"]).alias("online_rate"),
-            safe_divide(F.sum(F.when(kind["purchase"], stars)), counts["purchase"]).alias("vendor_rating"),
-            F.max(F.when(kind["purchase"], k % 11)).alias("survey_score"),
-            safe_divide(F.sum(F.when(kind["click"], stars)), counts["click"]).alias("survey_rating"),
-            F.when(counts["error"] > 0, counts["error"]).alias("cc_sessions"),
-        )
+    # Distinct values become groups, distinct days become bits: no event is copied for a distinct count, and a user
+    # with very many events collapses before the first shuffle.
+    per_value = {
+        "timestamp": (F.max("ts"), F.max),
+        "first_purchase": (F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))), F.min),
+        "days_near": (F.bit_or(F.when(age < 42, F.expr("shiftleft(1L, datediff(calculation_date, event_date))"))), F.bit_or),
+        "days_far": (F.bit_or(F.when(age >= 42, F.expr("shiftleft(1L, datediff(calculation_date, event_date) - 42)"))), F.bit_or),
+        "n_recent": (_count_if(recent), F.sum),
+        "k_recent": (F.sum(F.when(recent, k)), F.sum),
+        "cents": (F.sum(F.when(recent, F.col("value_cents"))), F.sum),
+        **{name: (_count_if(condition), F.sum) for name, condition in kind.items()},
+        "online": (_count_if(kind["purchase"] & (k % 2 == 0)), F.sum),
+        "purchase_stars": (F.sum(F.when(kind["purchase"], stars)), F.sum),
+        "click_stars": (F.sum(F.when(kind["click"], stars)), F.sum),
+        "survey": (F.max(F.when(kind["purchase"], k % 11)), F.max),
+    }
+    again = [combine(name).alias(name) for name, (_, combine) in per_value.items()]
+    user = ("external_id", "calculation_date")
+    area = F.floor(k / 25).alias("area")
+    by_value = dated.filter((age >= 0) & (age < 84)).groupBy(*user, "k").agg(*[e.alias(name) for name, (e, _) in per_value.items()])
+    by_area = by_value.groupBy(*user, area).agg(_count_if((F.col("view") > 0) & k.isNotNull()).alias("vendors_viewed"), *again)
+    summed = by_area.groupBy(*user).agg(
+        F.sum("vendors_viewed").alias("vendors_viewed"),
+        _count_if((F.col("n_recent") > 0) & F.col("area").isNotNull()).alias("addresses"),
+        *again,
+    )
+    duration = F.col("cents") / F.lit(CENTS)
+    last_4_weeks = F.bit_count(F.coalesce("days_near", F.lit(0).cast("bigint")).bitwiseAND(F.lit((1 << 28) - 1))).cast("bigint")
+    days = [F.bit_count(F.coalesce(c, F.lit(0).cast("bigint"))) for c in ("days_near", "days_far")]
+    per_user = summed.select(
+        *user,
+        "timestamp",
+        "vendors_viewed",
+        safe_divide("k_recent", "n_recent").alias("vendors_available"),
+        "addresses",
+        last_4_weeks.alias("visits_4w"),
+        (days[0] + days[1]).cast("bigint").alias("visits_12w"),
+        duration.alias("session_duration"),
+        safe_divide(duration, "n_recent").alias("interaction_speed"),
+        (1 - safe_divide("purchase", "click")).alias("abandoned_cart_rate"),
+        safe_divide("error", "n_recent").alias("search_fail_rate"),
+        safe_divide("error", "purchase").alias("voucher_error_rate"),
+        F.when(F.col("external_id") % 10 != 9, F.col("first_purchase")).alias("first_order_timestamp"),
+        safe_divide("online", "purchase").alias("online_rate"),
+        safe_divide("purchase_stars", "purchase").alias("vendor_rating"),
+        F.col("survey").alias("survey_score"),
+        safe_divide("click_stars", "click").alias("survey_rating"),
+        F.when(F.col("error") > 0, F.col("error")).alias("cc_sessions"),
     )
     people = customers_with_entity(spark, directory).select("global_entity_id", "analytical_customer_id")
     owner = _customer_of("external_id") == F.col("analytical_customer_id")
@@ -120,26 +143,44 @@ def visit_record(spark: SparkSession, directory: str, day: dt.date) -> DataFrame
     """Visit history per customer over all of its external ids."""
     age = F.datediff(F.lit(day), F.col("event_date"))
     recent = (age >= 0) & (age < 28)
-    platform = F.element_at(F.array(F.lit("android"), F.lit("ios"), F.lit("web")), (F.col("k") % 3 + 1).cast("int"))
-    duration = F.sum(F.when(recent, F.col("value_cents"))) / F.lit(CENTS)
-    visits = F.countDistinct(F.when(recent, F.col("event_date")))
-    clicks = _count_if(recent & (F.col("event_type") == "click"))
-    purchases = _count_if(recent & (F.col("event_type") == "purchase"))
-    views = _count_if(recent & (F.col("event_type") == "view"))
-    mapped = id_map(spark, directory)
-    return (
+    platforms = F.array(F.lit("android"), F.lit("ios"), F.lit("web"))
+    code = (F.col("k") % 3 + 1).cast("int")
+    # Days of an external id first: what meets the id map is one row for each day, however busy the user was.
+    daily = (
         events(spark, directory)
-        .join(mapped, "external_id")
-        .groupBy("global_entity_id", "analytical_customer_id")
+        .groupBy("external_id", "event_date")
         .agg(
-            F.min_by(platform, "ts").alias("first_platform_device"),
-            F.max_by(platform, "ts").alias("last_platform_device"),
-            F.countDistinct("event_date").alias("lifetime_visit_count"),
+            F.min("ts").alias("first_ts"),
+            F.max("ts").alias("last_ts"),
+            F.min_by(code, "ts").alias("first_code"),
+            F.max_by(code, "ts").alias("last_code"),
+            F.sum("value_cents").alias("cents"),
+            F.count(F.lit(1)).alias("n"),
+            *[_count_if(F.col("event_type") == t).alias(t) for t in ("click", "purchase", "view")],
+        )
+    )
+    person = ("global_entity_id", "analytical_customer_id")
+    of_day = daily.join(id_map(spark, directory), "external_id").groupBy(*person, "event_date").agg(
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min_by("first_code", "first_ts").alias("first_code"),
+        F.max_by("last_code", "last_ts").alias("last_code"),
+        *[F.sum(c).alias(c) for c in ("cents", "n", "click", "purchase", "view")],
+    )
+    visits = _count_if(recent)
+    counts = {c: F.coalesce(F.sum(F.when(recent, F.col(c))), F.lit(0)) for c in ("n", "click", "purchase", "view")}
+    duration = F.sum(F.when(recent, F.col("cents"))) / F.lit(CENTS)
+    return (
+        of_day.groupBy(*person)
+        .agg(
+            F.element_at(platforms, F.min_by("first_code", "first_ts")).alias("first_platform_device"),
+            F.element_at(platforms, F.max_by("last_code", "last_ts")).alias("last_platform_device"),
+            F.count(F.lit(1)).alias("lifetime_visit_count"),
             visits.alias("visits_count"),
             duration.alias("sum_session_duration"),
             safe_divide(duration, visits).alias("average_session_duration"),
-            (1 - safe_divide(purchases, clicks)).alias("abandoned_cart_rate"),
-            safe_divide(views, _count_if(recent)).alias("qc_visit_rate"),
+            (1 - safe_divide(counts["purchase"], counts["click"])).alias("abandoned_cart_rate"),
+            safe_divide(counts["view"], counts["n"]).alias("qc_visit_rate"),
         )
         .select(
             "global_entity_id",
