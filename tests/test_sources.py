@@ -93,3 +93,43 @@ def test_behaviour_gates_and_session_average(spark):
     assert [got[k]["visit_session_dur_avg_l04w"] for k in (1, 4)] == [total, 0.0]
     fixed = features.attach_behaviour(cohort, rolled, fix_session_avg=True).collect()
     assert {r["visit_session_dur_avg_l04w"] for r in fixed} == {average, 0.0}
+
+
+def test_event_bounds_reach_the_scan(spark, sf):
+    from tidemark.params import TEST_RUN
+    from tidemark.plans.features import feature_table
+
+    plan = feature_table(spark, sf, TEST_RUN)._jdf.queryExecution().toString()
+    scans = [line for line in plan.split("== Physical Plan ==")[1].splitlines() if "events.parquet" in line]
+    assert len(scans) == 1 and "GreaterThanOrEqual(ts," in scans[0] and "LessThan(ts," in scans[0]
+    assert "Expand" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_stage_plan_keeps_one_row_of_a_repeated_customer(spark, sf):
+    from tidemark.operators.flatten import STAGE_PATHS
+    from tidemark.params import TEST_RUN
+    from tidemark.plans.features import assemble_stage_features, behaviour
+    from tidemark.session import durable
+    from tidemark.sources.snapshot import customer_snapshot
+
+    snapshot = durable(customer_snapshot(spark, sf, TEST_RUN.as_of, TEST_RUN.entity, STAGE_PATHS))
+    rolled = durable(behaviour(spark, sf, TEST_RUN))
+    once = assemble_stage_features(snapshot, rolled, TEST_RUN).count()
+    assert once and assemble_stage_features(snapshot.union(snapshot), rolled, TEST_RUN).count() == once
+
+
+def test_scratch_of_a_run_is_dropped_and_clusters_must_share(spark):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tidemark import session
+
+    with session.scratch_run(spark) as top:
+        assert session.durable(spark.range(3)).count() == 3
+        assert Path(top.removeprefix("file:")).exists()
+    assert not Path(top.removeprefix("file:")).exists()
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="share"):
+        session.shared_dir(cluster)

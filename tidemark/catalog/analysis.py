@@ -394,8 +394,11 @@ def _(spark, sf):
 @query(
     "baseline_metrics",
     f"""WITH {SCORED}, b AS (SELECT *, avg({Y}) OVER () AS p FROM scored)
-    SELECT CAST(0.5 AS DOUBLE) AS roc_auc, CAST(0 AS DOUBLE) AS f1, CAST(0 AS DOUBLE) AS precision, CAST(0 AS DOUBLE) AS recall,
-      round(avg(1 - {Y}), 4) AS accuracy, round(avg(-CASE WHEN {Y} = 1 THEN ln(p) ELSE ln(1 - p) END), 4) AS log_loss
+    SELECT CAST(0.5 AS DOUBLE) AS roc_auc,
+      round(coalesce(2 * sum({Y} * round_even(p, 0)) / nullif(sum({Y} + round_even(p, 0)), 0), 0), 4) AS f1,
+      round(coalesce(sum({Y} * round_even(p, 0)) / nullif(sum(round_even(p, 0)), 0), 0), 4) AS precision,
+      round(coalesce(sum({Y} * round_even(p, 0)) / nullif(sum({Y}), 0), 0), 4) AS recall,
+      round(avg(CAST({Y} = round_even(p, 0) AS INT)), 4) AS accuracy, round(avg(-CASE WHEN {Y} = 1 THEN ln(p) ELSE ln(1 - p) END), 4) AS log_loss
     FROM b""",
 )
 def _(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import frequency_per_4_weeks, gated, or_zero, safe_divide
 from tidemark.operators.cohorts import active_cohort, conversion_cohort, in_entity, within_usual_range
+from tidemark.operators.dedup import dedup_latest
 from tidemark.operators.flatten import FEATURE_PATHS, KEYS, STAGE_PATHS, flatten_features
 from tidemark.params import RunParams
 from tidemark.sources.profile import behaviour_profile, id_map
@@ -137,7 +138,11 @@ def assemble_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, fi
 
 
 def assemble_stage_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, strict: bool = False) -> DataFrame:
-    """Variant for the dark-store study: conversion cohort, local-store columns, no coverage filter."""
+    """Variant for the dark-store study: conversion cohort, local-store columns, no coverage filter.
+
+    The stored snapshot may repeat customers; one row of each stays.
+    """
+    snapshot = dedup_latest(snapshot, KEYS, [])
     if run.entity is not None:
         snapshot, rolled = snapshot.filter(in_entity(run.entity)), rolled.filter(in_entity(run.entity))
     flat = flatten_features(snapshot, run.as_of, local_stores=True, dark_stores=True)

@@ -12,7 +12,8 @@ from tidemark.functions.expressions import clean_feature_name
 from tidemark.operators import cohorts, columns, explain, metrics, models, targets
 from tidemark.operators.flatten import KEYS
 from tidemark.params import RunParams
-from tidemark.session import durable
+from tidemark.operators.stats import with_baseline
+from tidemark.session import durable, scratch_run
 from tidemark.sources.writers import prediction_export, save_partitioned
 
 ID = "analytical_customer_id"
@@ -27,6 +28,8 @@ class Task:
     params: models.TreeParams
     population: Column | None = None
     floor: float | None = None
+    count: str | None = None  # customers with such orders must have a target value
+    weights: tuple[float, ...] = (1.0,)  # of the models that make up the final score
 
     @property
     def short(self) -> str:
@@ -47,7 +50,7 @@ def quick_commerce_tasks(run: RunParams, quick: models.TreeParams | None = None)
         Task(targets.GENERAL, True, quick or models.GENERAL_OOF),
         Task(targets.ORGANIC, True, quick or models.ORGANIC_OOF, cohorts.organic_population(F.col(targets.ORGANIC))),
         Task(targets.FREQUENCY, False, quick or models.VALUE, value_rows(targets.FREQUENCY), floor=0.01),
-        Task(targets.ORDER_VALUE, False, quick or models.VALUE, value_rows(targets.ORDER_VALUE)),
+        Task(targets.ORDER_VALUE, False, quick or models.VALUE, value_rows(targets.ORDER_VALUE), count="order_count_lifetime_vert_qc"),
     ]
 
 
@@ -61,12 +64,24 @@ def dark_store_tasks(run: RunParams, quick: models.TreeParams | None = None) ->
     )
     return [
         Task(targets.GENERAL_DARK, True, quick or models.GENERAL_OOF),
-        Task(targets.ORDER_VALUE_DARK, False, quick or models.VALUE, value_rows),
+        Task(targets.ORDER_VALUE_DARK, False, quick or models.VALUE, value_rows, count="order_count_lifetime_vert_dmart"),
     ]
 
 
+def benchmark(rows: DataFrame, target: str, binary: bool) -> DataFrame:
+    """One-row metrics of the mean as a prediction, over the rows that have the target."""
+    known = durable(rows.filter(F.col(target).isNotNull()).select(target))
+    constant = durable(with_baseline(known, target, "preds_benchmark"))
+    return (metrics.binary_metrics if binary else metrics.regression_metrics)(constant, target, "preds_benchmark")
+
+
 def score_task(df: DataFrame, task: Task, features: Sequence[str], parallelism: int = 2):
-    """(keys + final score, one-row metrics, importance table) of one target."""
+    """(keys + final score, one-row metrics, one-row benchmark metrics, importance table) of one target.
+
+    Fails when a customer has orders but no value of the target.
+    """
+    if task.count is not None:
+        df = cohorts.require_values(df, task.count, task.target)
     rows = df if task.population is None else df.withColumn("population", task.population)
     if task.binary:
         scored, fitted, names = models.out_of_fold(
@@ -74,10 +89,12 @@ def score_task(df: DataFrame, task: Task, features: Sequence[str], parallelism:
             population=None if task.population is None else "population",
             suffix=f"{task.short}_gbt", parallelism=parallelism,
         )
-        scored = durable(scored.withColumnRenamed(f"preds_oof_{task.short}_gbt", task.final))
-        quality = metrics.binary_metrics(scored.filter("role = 'train'"), task.target, task.final)
+        models_of = (f"preds_oof_{task.short}_gbt",)
+        scored = durable(scored.withColumn(task.final, columns.blend(dict(zip(models_of, task.weights, strict=True)))))
+        trained = scored.filter("role = 'train'")
+        quality = metrics.binary_metrics(trained, task.target, task.final)
     else:
-        train = rows.filter(F.col("population") == "train")
+        train = trained = rows.filter(F.col("population") == "train")
         valid, first, names = models.fit_single(
             train, list(KEYS), task.target, features, task.params, False, "predicted", task.floor
         )
@@ -89,7 +106,7 @@ def score_task(df: DataFrame, task: Task, features: Sequence[str], parallelism:
         fitted = [first]
     importance = explain.feature_importance(df.sparkSession, fitted, names)
     importance = importance.withColumn("feature", clean_feature_name("feature"))
-    return durable(scored.select(*KEYS, task.final)), quality, importance
+    return durable(scored.select(*KEYS, task.final)), quality, benchmark(trained, task.target, task.binary), importance
 
 
 def scoring_run(feature_rows: DataFrame, tasks: Sequence[Task], run: RunParams, output: str,
@@ -97,8 +114,15 @@ def scoring_run(feature_rows: DataFrame, tasks: Sequence[Task], run: RunParams,
     """Write predictions, metrics and importances below `output`; returns their paths.
 
     `feature_rows` is a feature table with target columns, unique per customer. Scores come back by
-    equi-join on the customer key, which no hot value can skew.
+    equi-join on the customer key, which no hot value can skew. Metrics have a row for each target and one for its
+    benchmark, the mean. Intermediates live in a folder of the run, which is dropped at its end.
     """
+    with scratch_run(feature_rows.sparkSession):
+        return _scoring_run(feature_rows, tasks, run, output, features, parallelism)
+
+
+def _scoring_run(feature_rows: DataFrame, tasks: Sequence[Task], run: RunParams, output: str,
+                 features: Sequence[str] | None, parallelism: int) -> dict[str, str]:
     df = durable(feature_rows)
     features = list(features) if features is not None else columns.final_features(df)
     date = F.lit(run.date_until).alias("date")
@@ -106,7 +130,7 @@ def scoring_run(feature_rows: DataFrame, tasks: Sequence[Task], run: RunParams,
     paths = {name: f"{output}/{name}" for name in ("predictions", "metrics", "feat_imp")}
     published, quality = df, {}
     for task in tasks:
-        scores, quality[task.target], importance = score_task(df, task, features, parallelism)
+        scores, quality[task.target], quality[f"{task.target}__benchmark"], importance = score_task(df, task, features, parallelism)
         published = published.join(scores, list(KEYS), "left")
         save_partitioned(
             importance.select(entity, F.lit(task.target).alias("target"), date, "*"), paths["feat_imp"],
