@@ -80,3 +80,13 @@ def test_no_pair_join_in_the_plan(spark):
     df = spark.range(500).select("id", F.rand(1).alias("cust_lat"), F.rand(2).alias("cust_long"))
     plan = geo.radius_density(df, [0.1])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_several_minimum_sizes_from_one_run(spark):
+    near = [(i, 10.0 + i * 1e-4, 20.0) for i in range(40)] + [(100 + i, 30.0 + i * 1e-4, 40.0) for i in range(12)] + [(200, None, 1.0)]
+    df = spark.createDataFrame(near, "k long, cust_lat double, cust_long double")
+    together = {r.k: r for r in geo.density_clusters(df, "k", 0.01, 5, [10, 30]).collect()}
+    for size in (10, 30):
+        alone = {r.k: (r.cluster, r.outlier_score) for r in geo.density_clusters(df, "k", 0.01, 5, size).collect()}
+        assert alone == {k: (r[f"cluster_{size}"], r[f"outlier_score_{size}"]) for k, r in together.items()}
+    assert together[100]["cluster_10"] == 100 and together[100]["cluster_30"] == -1 and together[200]["cluster_10"] is None

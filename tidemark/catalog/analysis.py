@@ -540,13 +540,13 @@ def _(spark, sf):
 # ---------------------------------------------------------------- splits and samples
 
 
-def _u(seed: int) -> str:
+def _u(seed: int | str) -> str:
     return f"{q.score(seed, ID)} / 4294967296e0"
 
 
 @query(
     "split_stratified",
-    f"""WITH {SCORED}, r AS (SELECT {Y} AS target, row_number() OVER (PARTITION BY {Y} ORDER BY {q.score(42, ID)}, {ID}) AS k,
+    f"""WITH {SCORED}, r AS (SELECT {Y} AS target, row_number() OVER (PARTITION BY {Y} ORDER BY {q.score("split42", ID)}, {ID}) AS k,
       count(*) OVER (PARTITION BY {Y}) AS n, {ID} FROM scored)
     SELECT {ID}, target, CASE WHEN k <= floor(n * 0.2e0 + 0.5e0) THEN 'valid' ELSE 'train' END AS split FROM r""",
 )
@@ -557,7 +557,7 @@ def _(spark, sf):
 
 @query(
     "split_plain",
-    f"SELECT c_custkey AS {ID}, CASE WHEN {q.score(42, 'c_custkey')} / 4294967296e0 < 0.2e0 THEN 'valid' ELSE 'train' END AS split FROM customer",
+    f"SELECT c_custkey AS {ID}, CASE WHEN {q.score('split42', 'c_custkey')} / 4294967296e0 < 0.2e0 THEN 'valid' ELSE 'train' END AS split FROM customer",
 )
 def _(spark, sf):
     return sampling.split(table(spark, sf, "customer").select(F.col("c_custkey").alias(ID)), [ID])

@@ -164,7 +164,7 @@ def _(spark, sf):
 
 @query(
     "simulate_recall",
-    f"""{_FRAME}, placed AS (SELECT {PLANTED} AS y, row_number() OVER (PARTITION BY {PLANTED} ORDER BY {q.score(42, ID)}, {ID}) AS k,
+    f"""{_FRAME}, placed AS (SELECT {PLANTED} AS y, row_number() OVER (PARTITION BY {PLANTED} ORDER BY {q.score("split42", ID)}, {ID}) AS k,
       count(*) OVER (PARTITION BY {PLANTED}) AS n FROM frame)
     SELECT CAST(seed AS INTEGER) AS seed, count(*) AS positives, count(*) > 0 AS recall_known
     FROM placed, range(30) s(seed) WHERE y = 1 AND k <= floor(n * 0.2e0 + 0.5e0) GROUP BY seed""",

@@ -290,5 +290,5 @@ FROM snap LEFT JOIN rolled ON r_entity = entity AND r_cust = cust
 WHERE {CONVERSION} AND {USUAL})"""
 
 
-def score(seed: int, key: str = "cust") -> str:
+def score(seed: int | str, key: str = "cust") -> str:
     return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 8) AS BIGINT)"

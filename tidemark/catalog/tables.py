@@ -545,15 +545,15 @@ def _(spark, sf):
 # ---------------------------------------------------------------- targets
 
 
-def _target(name: str, column, sql_expr: str) -> None:
-    @query(name, f"WITH {q.BASE} SELECT {q.KEYS}, {sql_expr} AS target FROM snap")
+def _target(name: str, column, sql_expr: str, output: str = "target") -> None:
+    @query(name, f"WITH {q.BASE} SELECT {q.KEYS}, {sql_expr} AS {output} FROM snap")
     def _(spark, sf):
-        return _qc_figures(spark, sf).select(*KEYS, column().alias("target"))
+        return _qc_figures(spark, sf).select(*KEYS, column().alias(output))
 
 
 _GENERAL_SQL = "CAST(dm_lifetime_order_count IS NOT NULL AND dm_lifetime_order_count > 0 AS INTEGER)"
 _target("target_general", targets.general, _GENERAL_SQL)
-_target("target_general_dm", targets.general, _GENERAL_SQL)
+_target("target_general_dm", targets.general, _GENERAL_SQL, targets.GENERAL_DARK)
 _target(
     "target_organic",
     targets.organic,

@@ -174,14 +174,15 @@ def _cell_id(cx: Column, cy: Column) -> Column:
     return F.when(fits, packed).otherwise(F.raise_error(F.lit("grid index exceeds 31 bits")).cast("bigint"))
 
 
-def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int, min_cluster_size: int,
-                     x: str = "cust_lat", y: str = "cust_long", leaf: int = LEAF) -> DataFrame:
+def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int,
+                     min_cluster_size: int | Sequence[int], x: str = "cust_lat", y: str = "cust_long", leaf: int = LEAF) -> DataFrame:
     """Fixed-radius density clusters.
 
     Core rows have at least `min_samples` rows within `radius` (themselves included); core rows within
     `radius` of each other share a cluster; everything else, and clusters below `min_cluster_size`, is noise.
     Adds `cluster` (smallest key of the cluster, -1 for noise) and `outlier_score` (1 - density / densest row
-    of the cluster, 1 for noise).
+    of the cluster, 1 for noise). For several minimum sizes the columns end in `_<size>`; density, links and
+    components are found once, only the last filter differs.
 
     Cells are small enough that all core rows of a cell belong together, so the graph is one of cells with at
     most two dozen neighbours each, never one of rows.
@@ -221,16 +222,16 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int, m
             F.max("hits").alias("densest"),
         )
     )
-    large = durable(clusters).filter(F.col("members") >= min_cluster_size)
-    final = skew_safe_lookup(rows, large, ["label"], "members")
-    return final.select(
-        *df.columns,
-        F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.coalesce("cluster", F.lit(-1))).alias("cluster"),
-        F.when(
-            F.col(x).isNotNull() & F.col(y).isNotNull(),
-            F.coalesce(1 - F.col("hits") / F.col("densest"), F.lit(1.0)),
-        ).alias("outlier_score"),
-    )
+    final = skew_safe_lookup(rows, durable(clusters.withColumn("size", F.col("members"))), ["label"], "members")
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    out = []
+    for least in [min_cluster_size] if isinstance(min_cluster_size, int) else min_cluster_size:
+        suffix = "" if isinstance(min_cluster_size, int) else f"_{least}"
+        large = F.col("size") >= least
+        out.append(F.when(placed, F.coalesce(F.when(large, F.col("cluster")), F.lit(-1))).alias(f"cluster{suffix}"))
+        score = F.when(large, 1 - F.col("hits") / F.col("densest"))
+        out.append(F.when(placed, F.coalesce(score, F.lit(1.0))).alias(f"outlier_score{suffix}"))
+    return final.select(*df.columns, *out)
 
 
 KMEANS_SIZES = (10, 20, 50, 100)

@@ -12,8 +12,13 @@ from tidemark.operators.lookup import skew_safe_lookup
 from tidemark.session import durable
 
 
+def _split_seed(seed: int) -> str:
+    """Splits draw from a stream of their own: a sample with the same seed is independent of them."""
+    return f"split{seed}"
+
+
 def split_label(keys: Sequence[str], seed: int = 42, valid_share: float = 0.2) -> Column:
-    return F.when(uniform(seed, *keys) < valid_share, "valid").otherwise("train")
+    return F.when(uniform(_split_seed(seed), *keys) < valid_share, "valid").otherwise("train")
 
 
 def split(df: DataFrame, keys: Sequence[str], seed: int = 42, valid_share: float = 0.2) -> DataFrame:
@@ -24,7 +29,7 @@ def split(df: DataFrame, keys: Sequence[str], seed: int = 42, valid_share: float
 BUCKETS = 1 << 16  # equal parts of the hash range; counts of these find where a sample ends
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+def _bucketed(df: DataFrame, keys: Sequence[str], seed: int | str) -> DataFrame:
     hashed = portable_hash(seed, *keys)
     return df.select("*", hashed.alias("__hash"), F.shiftright(hashed, 16).alias("__bucket"))
 
@@ -36,7 +41,7 @@ def split_exact(df: DataFrame, keys: Sequence[str], stratum: str, seed: int = 42
     Counts of hash buckets tell in which bucket of a stratum the validation part ends. Only the rows of that bucket
     are ranked; all others are decided where they are. Reads its input twice.
     """
-    marked = _bucketed(df, keys, seed)
+    marked = _bucketed(df, keys, _split_seed(seed))
     counts = durable(marked.groupBy(stratum, "__bucket").agg(F.count(F.lit(1)).alias("__n")))
     group = Window.partitionBy(stratum)
     upto = F.sum("__n").over(group.orderBy("__bucket"))
