@@ -12,6 +12,7 @@ read. Texts of any length are encoded whole: one very long word takes one merge
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -26,7 +27,7 @@ from tidemark.llm.pretokens import pretokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SLICE = 2 << 20  # bytes of text encoded at a time
-REMEMBERED = 500_000  # words a worker remembers; it starts anew beyond
+REMEMBERED = 1_000_000  # words a worker remembers; beyond, it forgets the older half
 CELLS = 1 << 22  # tree cells stepped together
 NEVER = np.int64(1) << 62
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -153,11 +154,10 @@ class Vocabulary:
     def encode_words(self, words: list[str], known: dict[str, bytes]) -> list[bytes]:
         """The ids of each word; `known` remembers."""
         new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(words))
         known.update(zip(new, self.merge([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
-        return [known[w] for w in words]
+        out = [known[w] for w in words]
+        forget(known)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -168,6 +168,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def forget(known: dict[str, bytes]) -> None:
+    if len(known) > REMEMBERED:
+        for word in list(itertools.islice(known, len(known) // 2)):
+            del known[word]
+
+
 @functools.cache
 def remembered(use: str) -> dict[str, bytes]:
     """Words encoded by this Python worker so far, over all its tasks."""

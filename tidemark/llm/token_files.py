@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import REMEMBERED, VOCABULARY, encode_texts, remembered, vocabulary
+from tidemark.llm.bpe import VOCABULARY, encode_texts, forget, remembered, vocabulary
 from tidemark.llm.common import col, slices
 from tidemark.session import scratch_path
 
@@ -44,12 +44,11 @@ def library(path: str) -> Tokenizer:
 def encode_words(path: str, words: list[str], known: dict[str, bytes]) -> list[bytes]:
     """The ids of each word by the library; `known` remembers."""
     new = [w for w in dict.fromkeys(words) if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list(dict.fromkeys(words))
     for word, coded in zip(new, library(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
         known[word] = np.array(coded.ids, "<u4").tobytes()
-    return [known[w] for w in words]
+    out = [known[w] for w in words]
+    forget(known)
+    return out
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
