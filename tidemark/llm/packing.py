@@ -29,7 +29,7 @@ from tidemark.llm.common import col
 from tidemark.session import durable
 
 CAPACITY = 8192
-SHARD_ITEMS = 8192
+SHARD_ITEMS = 2048
 
 
 class Bins:
