@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import col, slices
+from tidemark.llm.common import col, fresh, slices
 from tidemark.operators.graph import connected_components
 from tidemark.operators.lookup import skew_safe_lookup
 from tidemark.session import durable
@@ -185,6 +185,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component (all rows that repeat that id), and rows without id."""
-    stay = components(docs, doc_id, text, distance).filter("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    rows = docs.join(stay, col(doc_id) == F.col("__stays"), "left_semi")
+    [name] = fresh(docs.columns, "__stays")
+    stay = components(docs, doc_id, text, distance).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.join(stay, col(doc_id) == F.col(name), "left_semi")
     return rows.unionByName(docs.filter(col(doc_id).isNull()))
