@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import token_files
 from tidemark.llm.bpe import VOCABULARY
 from tidemark.llm.common import table
+from tidemark.llm.pretokens import pretokens
 from tidemark.session import scratch_path
 
 
@@ -45,3 +46,11 @@ def test_odd_rows(spark):
     out = scratch_path(spark, "test-tokens")
     token_files.write(docs.limit(0), out)
     assert token_files.read(spark, out).count() == 0
+
+
+def test_words_together_are_encoded_as_alone():
+    library = Tokenizer.from_file(VOCABULARY)
+    text = " the 12 !? <|the\n\n   x's don't é 日本 ́x\t |> endoftext ½" + "".join(f" {'ab' * i} {i}" for i in range(1, 2500))
+    words = list(dict.fromkeys(pretokens([text])[0]))
+    coded = token_files.encode_words(VOCABULARY, words, {})
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [library.encode(w, add_special_tokens=False).ids for w in words]

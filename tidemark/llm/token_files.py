@@ -32,6 +32,7 @@ from tidemark.session import scratch_path
 
 END_ID = 0
 SLICE = 2 << 20
+TOGETHER = 2000  # words that the library encodes in one text
 #: Lengths of the four codes of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -41,11 +42,28 @@ def library(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def encode_new(path: str, words: list[str], known: dict[str, bytes]) -> None:
+    """Let the library encode words.
+
+    Words that begin with a blank and a sign are written in one text: the library cuts it into just these words.
+    """
+    blank_first = [w for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+    for at in range(0, len(blank_first), TOGETHER):
+        part = blank_first[at : at + TOGETHER]
+        coded = library(path).encode("".join(part), add_special_tokens=False)
+        sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part))
+        if len(sizes) != len(part):
+            raise ValueError("the library cuts pre-tokens in another way")
+        ids, ends = np.array(coded.ids, "<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        known.update(zip(part, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+    others = [w for w in words if w not in known]
+    for word, coded in zip(others, library(path).encode_batch_fast(others, add_special_tokens=False), strict=True):
+        known[word] = np.array(coded.ids, "<u4").tobytes()
+
+
 def encode_words(path: str, words: list[str], known: dict[str, bytes]) -> list[bytes]:
     """The ids of each word by the library; `known` remembers."""
-    new = [w for w in dict.fromkeys(words) if w not in known]
-    for word, coded in zip(new, library(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[word] = np.array(coded.ids, "<u4").tobytes()
+    encode_new(path, [w for w in dict.fromkeys(words) if w not in known], known)
     out = [known[w] for w in words]
     forget(known)
     return out
