@@ -90,3 +90,31 @@ def test_edge_cases(spark):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns and sorted((r.doc_id or 0, r.fp) for r in left.collect()) == [(0, 5), (3, 2), (8, 4), (8, 4)]
     assert simhash.components(docs.limit(0)).count() == 0
+
+
+def test_parts_shrink_as_their_number_grows(spark, monkeypatch):
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) for _ in range(4000)]
+    fps += [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in fps[:500]]
+    fps += [fps[0] ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)]  # a hot group of distinct fingerprints
+    frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in set(fps)], "fp bigint").cache()
+    monkeypatch.setattr(simhash, "PART_ROWS", 60)
+    bits = simhash.part_bits_for(frame, 2)
+    reached = np.unique(simhash.classes(simhash.ball(2), simhash.groups_of_bits(bits)))
+    assert bits > 12 and len(reached) < 0.02 * 2**bits
+    assert len(np.unique(simhash.classes(simhash.ball(2), simhash.groups_of_bits(8)))) == 37
+    monkeypatch.setattr(simhash, "PART_BITS", range(8, 9))
+    monkeypatch.setattr(simhash, "ROUND", 1 << 14)
+    label = {f: f for f in set(fps)}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in simhash.links(frame).distinct().collect():
+        x, y = sorted((root(a % 2**64), root(b % 2**64)))
+        label[y] = x
+    assert all(root(f) == root(fps[0]) for f in fps[4500:])
+    assert all(root(a) == root(b) for a, b in zip(fps[:500], fps[4000:4500], strict=True))
+    assert len({root(f) for f in label}) == 4000
