@@ -1,0 +1,57 @@
+import random
+
+import corpus_pipeline
+
+from tidemark.llm import near_copies, simhash
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def slow_components(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    label = {i: i for i in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    return {i: root(i) for i in label}
+
+
+def planted():
+    """Texts, near copies of them at many similarities, and a hot group."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [[word() for _ in range(rng.randrange(40, 200))] for _ in range(60)]
+    for k in range(60):
+        for _ in range(3):
+            copy = list(texts[k])
+            for _ in range(rng.randrange(1, 6)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    for _ in range(80):
+        copy = list(texts[0])
+        copy[rng.randrange(len(copy))] = word()
+        texts.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, ""), (901, None), (902, "One two"), (903, "one  TWO")]
+
+
+def test_components_against_brute_force(spark):
+    rows = planted()
+    want = slow_components(rows)
+    got = {r.doc_id: r.component_id for r in near_copies.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+    kept = {r.doc_id for r in corpus_pipeline.no_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert kept == set(want.values())
+    texts = dict(rows)
+    far = [(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])) % 2**64 for i, j in want.items() if i != j]
+    assert sum(x.bit_count() > 4 for x in far) > 50  # four bits would not find these
