@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, context_tree, hnsw, langid, quality, token_files
+from tidemark.llm import chat, context_tree, hnsw, langid, lexical, quality, token_files
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import remainder, table
 from tidemark.llm.exact_dedup import exact_duplicates
@@ -139,6 +139,41 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH folded AS (
+        SELECT doc_id, row_number() OVER () AS uid,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), held AS MATERIALIZED (SELECT * FROM folded WHERE len(terms) > 0),
+    totals AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM held),
+    counted AS (
+        SELECT uid, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
+        FROM (SELECT uid, doc_id, len(terms) AS n, unnest(terms) AS term FROM held) GROUP BY uid, term
+    ), weighed AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counted, totals GROUP BY term, n_docs
+    ), asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), scored AS (
+        SELECT item_id, uid, any_value(doc_id) AS doc_id,
+               CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+        FROM asked JOIN counted USING (term) JOIN weighed USING (term), totals
+        GROUP BY item_id, uid
+    )
+    SELECT item_id, rank, doc_id, score
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+    WHERE rank <= 10
+    """,
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, b=90)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this folder
