@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat, context_tree, hnsw, langid, lexical, quality, token_files
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import remainder, table
+from tidemark.llm.common_lines import drop_common_lines
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.packing import best_fit
 from tidemark.llm.simhash import components
@@ -139,6 +140,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op12_line_dedup",
+    r"""
+    WITH docs AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS uid, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    split AS (SELECT uid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs),
+    keyed AS (
+        SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM split
+    ), common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT uid) >= 10)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.key IS NULL), '')) AS kept_sha256
+    FROM keyed LEFT JOIN common USING (key) GROUP BY uid
+    """,
+)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept, n_lines, n_dropped = drop_common_lines(docs, min_docs=10, min_chars=1)
+    return kept.select("doc_id", n_lines, n_dropped, F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query(
     "op13_lexical_search",
     r"""
