@@ -12,6 +12,7 @@ from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import remainder, table
 from tidemark.llm.common_lines import drop_common_lines
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.hard_negatives import mine
 from tidemark.llm.packing import best_fit
 from tidemark.llm.simhash import components
 from tidemark.session import durable, scratch_path
@@ -140,6 +141,39 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_hard_negatives",
+    """
+    WITH given AS MATERIALIZED (
+        SELECT vec_id, row_number() OVER () AS uid, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS vec
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS MATERIALIZED (
+        SELECT a.uid, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, a.label = b.label AS same,
+               CAST(list_dot_product(a.vec, b.vec) AS BIGINT) AS score
+        FROM given a JOIN given b ON a.uid <> b.uid AND len(a.vec) = len(b.vec)
+        WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT uid, anchor_id, other, vec_id AS positive_id, score AS positive_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS place FROM scored WHERE same)
+        WHERE place <= 5
+    ), negatives AS (
+        SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.uid, p.other ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+        FROM positives p JOIN scored n ON n.uid = p.uid AND NOT n.same
+         AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, base=100, scale=256)
+
+
 @query(
     "op12_line_dedup",
     r"""
