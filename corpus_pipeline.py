@@ -2,6 +2,12 @@
 
 Every stage takes the documents that the one before kept, whole, and all but the last return the columns of documents.
 Each result is written as Parquet below the shared folder and read again, so a lost executor repeats one stage at most.
+What a stage stores for itself is dropped at the end of `run`.
+
+Cases, for all stages: rows with a null or empty text, or without a letter, go in the first stage. A null doc_id is an id
+like any other to the learned stages; copies and near copies prefer rows that have an id; packing orders rows without id
+last. Rows that repeat an id are judged by their texts, one by one. Equal scores and equal texts are told apart by doc_id.
+Very long texts are read whole. Extra columns pass through, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, near_copies, packing, quality
+from tidemark.llm import exact_dedup, langid, packing, quality, simhash
 from tidemark.llm.common import col, remainder, table
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, scratch_run
 
 SHORTEST_PIECE = 2.0  # texts whose pieces are shorter on average are in no learned language ...
 SYMBOLS = 64  # ... if they have so many symbols
@@ -42,8 +48,9 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of near copies, the one with the smallest doc_id: fingerprints of four-word shingles
+    that differ in four bits at most."""
+    return simhash.one_of_each(docs, distance=4)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +71,10 @@ ORACLE_SQL = None  # fingerprints and learned models have no SQL; tests/llm/test
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    result = scratch_path(spark, "pipeline")
+    with scratch_run(spark):
+        for name, stage in STAGES:
+            path = result if name == STAGES[-1][0] else scratch_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
