@@ -34,3 +34,18 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "piece", "shard", "bin", "position", "length"]
+
+
+def test_odd_rows_and_empty_table(spark, sf):
+    docs = table(spark, sf, "documents")
+    some = docs.limit(0).unionByName(docs.filter("doc_id < 150"))
+    again = some.filter("doc_id < 20")
+    odd = some.unionByName(again).unionByName(again.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat(text, ' once more') AS text", "lang", "source", "n_chars"))
+    for given in (odd.selectExpr("*", "1 AS `__stays`", "'x' AS document", "2.0 AS score"), docs.limit(0)):
+        now = durable(given)
+        for name, stage in corpus_pipeline.STAGES:
+            before, now = now, durable(stage(spark, now, sf))
+            if name != "packing":
+                assert now.columns == given.columns
+                assert now.exceptAll(before).isEmpty()
+        assert now.isEmpty() == before.isEmpty()
