@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import HASH_RANGE
+from tidemark.operators.lookup import quoted
+from tidemark.operators.radix import order_statistics
 
 RANGE = "__range"
 
@@ -92,7 +94,13 @@ def _interpolated(value: Column, probability: float) -> Column:
 
 
 def quantiles(df: DataFrame, column: str, probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles, one row per group (one row in all without `by`); NULL values are skipped."""
+    """Exact interpolated quantiles, one row per group (one row in all without `by`); NULL values are skipped.
+
+    Without groups by radix selection, which shuffles no values; with groups by value ranges.
+    """
+    if not by:
+        found = order_statistics(df, {column: list(probabilities.values())})[column]
+        return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"{quoted(name)} double" for name in probabilities))
     rows = df.select(*by, F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     ranged = with_range(rows, "__v", range_limits(rows, ["__v"])["__v"])
     return quantiles_of_ranged(ranged, probabilities, by)

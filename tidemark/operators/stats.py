@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import RANGE, quantiles, quantiles_of_ranged, range_limits, with_range
+from tidemark.operators.ordering import quantiles
+from tidemark.operators.radix import order_statistics
 from tidemark.session import durable
 
 
@@ -62,22 +63,7 @@ def describe(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str,
              digits: int = 6) -> DataFrame:
     """count, mean, sample deviation, min, exact percentiles and max; one row per column."""
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    ranged = numbers
-    for c, limits in range_limits(numbers, columns).items():
-        ranged = with_range(ranged, c, limits, output=f"__range_{c}") if limits else ranged.withColumn(
-            f"__range_{c}", F.lit(0.0)
-        )
-    long = ranged.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("feature"), F.col(f"__range_{c}").alias(RANGE), F.col(c).alias("__v"))
-                    for c in columns
-                ]
-            )
-        )
-    ).filter(F.col("__v").isNotNull())
-    cuts = quantiles_of_ranged(long, probabilities, ["feature"])
+    cuts = order_statistics(numbers, {c: list(probabilities.values()) for c in columns})
     moments = numbers.agg(
         F.array(
             *[
@@ -88,14 +74,14 @@ def describe(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str,
                     F.stddev_samp(c).alias("std"),
                     F.min(c).alias("min"),
                     F.max(c).alias("max"),
+                    *[F.lit(v).cast("double").alias(name) for name, v in zip(probabilities, cuts[c], strict=True)],
                 )
                 for c in columns
             ]
         ).alias("rows")
     ).select(F.inline("rows"))
-    joined = moments.join(cuts, "feature", "left")
     rounded = [F.round(c, digits).alias(c) for c in ("mean", "std", "min", *probabilities, "max")]
-    return joined.select("feature", "count", *rounded)
+    return moments.select("feature", "count", *rounded)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
