@@ -1,4 +1,8 @@
-"""Boosted trees and logistic regression on Spark ML: training with early stopping, out-of-fold scores, refits."""
+"""Boosted trees and logistic regression: training with early stopping, out-of-fold scores, refits.
+
+Boosted trees are those of `boosting`, which learns many models in the same jobs; Spark ML's own are there as another
+trainer. Logistic regression is Spark ML's.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import portable_hash
+from tidemark.operators import boosting as histogram
 from tidemark.operators.sampling import split_exact, split_label
 from tidemark.session import durable
 
@@ -25,7 +30,7 @@ MISSING = -1.0
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Names follow the usual boosting vocabulary; `spark()` maps them to Spark ML."""
+    """Names follow the usual boosting vocabulary; `spark()` maps them to Spark ML. Columns are drawn for each tree."""
 
     n_estimators: int = 2000
     learning_rate: float = 0.08
@@ -36,6 +41,8 @@ class TreeParams:
     max_bins: int = 32
     seed: int = 42
     patience: int = 20
+    l1: float = 0.5  # penalties on leaf values; Spark ML has none
+    l2: float = 0.5
     extra: dict = field(default_factory=dict)
 
     def spark(self) -> dict:
@@ -122,6 +129,8 @@ def stopped_early(params: TreeParams, binary: bool, train: DataFrame, valid: Dat
 
 def score_column(model, df: DataFrame, output: str, binary: bool) -> DataFrame:
     """Add the model's score and drop its working columns."""
+    if isinstance(model, histogram.Boosted):
+        return df.withColumn(output, model.scores(df.sparkSession, F.col(FEATURES)))
     scored = model.transform(df)
     value = positive_probability() if binary else F.col("prediction")
     return scored.withColumn(output, value).drop("rawPrediction", "probability", "prediction")
@@ -159,15 +168,37 @@ def refit_and_score(df: DataFrame, keys: Sequence[str], target: str, population:
     """
     vectors, names = assemble(df, features, [*keys, target, population])
     vectors = durable(vectors.withColumn(LABEL, F.col(target).cast("double")))
-    model = boosting(params, False, best_iteration + 10).fit(vectors.filter(F.col(population) == "train"))
+    longer = replace(params, n_estimators=best_iteration + 10)
+    [model] = BoostedTrees(longer, False).fit_many(vectors, [F.when(F.col(population) == "train", histogram.TRAINS)])
     scored = score_column(model, vectors, output, binary=False)
     only = F.when(F.col(population) == "predict", F.col(output))
     return scored.withColumn(output, only).drop(LABEL, FEATURES), model, names
 
 
-def boosted_trees(params: TreeParams, binary: bool = True) -> Callable:
+@dataclass(frozen=True)
+class BoostedTrees:
     """Trainer on rows with `is_valid`: stops early on the valid ones; without any it runs to the last round."""
 
+    params: TreeParams
+    binary: bool = True
+
+    def __call__(self, rows: DataFrame):
+        [model] = self.fit_many(rows, [F.when(F.col("is_valid"), histogram.STOPS).otherwise(histogram.TRAINS)])
+        return model
+
+    def fit_many(self, rows: DataFrame, roles: Sequence[Column]) -> list:
+        """One model for each role column, all in the same jobs."""
+        fits = [histogram.Fit(F.col(LABEL), role, self.binary, self.params) for role in roles]
+        return histogram.boost(rows, fits, FEATURES)
+
+
+def boosted_trees(params: TreeParams, binary: bool = True) -> BoostedTrees:
+    return BoostedTrees(params, binary)
+
+
+def spark_trees(params: TreeParams, binary: bool = True) -> Callable:
+    """The same with Spark ML's own boosted trees, one model after another."""
+
     def train(rows: DataFrame):
         learning, valid = rows.filter("NOT is_valid"), rows.filter("is_valid")
         if valid.isEmpty():
@@ -204,12 +235,18 @@ def out_of_fold(df: DataFrame, keys: Sequence[str], target: str, features: Seque
     )
     train = vectors.filter(F.col("__role") == "train")
 
+    def stops(i: int) -> Column:
+        return F.col("fold") == (i + 1) % folds if folds > 2 and early_stop else F.lit(False)
+
     def fit(i: int):
-        stops = F.col("fold") == (i + 1) % folds if folds > 2 and early_stop else F.lit(False)
-        return trainer(train.filter(F.col("fold") != i).withColumn("is_valid", stops))
+        return trainer(train.filter(F.col("fold") != i).withColumn("is_valid", stops(i)))
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(fit, range(folds)))
+    if isinstance(trainer, BoostedTrees):
+        learns = [(F.col("__role") == "train") & (F.col("fold") != i) for i in range(folds)]
+        models = trainer.fit_many(vectors, [F.when(on, F.when(stops(i), histogram.STOPS).otherwise(histogram.TRAINS)) for i, on in enumerate(learns)])
+    else:
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(fit, range(folds)))
 
     own = [score_column(m, train.filter(F.col("fold") == i), output, binary) for i, m in enumerate(models)]
     scored = reduce(DataFrame.unionByName, own)
