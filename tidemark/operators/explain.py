@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.hashing import portable_hash
+from tidemark.operators.boosting import Boosted, Tree, matrix
 from tidemark.operators.models import FEATURES, LABEL, score_column
 from tidemark.operators.ordering import average_rank, dense_index
 from tidemark.operators.sampling import hash_sample
@@ -45,7 +50,8 @@ def permutation_importance(model, df: DataFrame, keys: Sequence[str], names: Seq
 
     Rows are numbered in key-hash order, which is a random order; in each iteration every feature reads its
     value from the row a hash-drawn distance further on, which is a permutation. Rows meet their partners in one
-    equi-join, once for each iteration; the fan-out over features comes after it, in the stage that scores.
+    equi-join, once for each iteration. Of models from `boosting`, only the trees that split on a feature are asked
+    again when it switches, where the pair lies; other models get one vector for each feature, after the join.
     """
     indexed = durable(dense_index(df.select(*keys, LABEL, FEATURES), keys, portable_hash(seed, *keys)))
     n = indexed.count()
@@ -55,7 +61,24 @@ def permutation_importance(model, df: DataFrame, keys: Sequence[str], names: Seq
     drawn = drawn.withColumn("partner", (F.col("__index") + shift) % n)
     partners = base.select(F.col("__index").alias("partner"), F.col("x").alias("other"))
     paired = drawn.join(partners, "partner")
-    shuffled = paired.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("f")).select(
+    runs = durable((_runs_by_tree if isinstance(model, Boosted) else _runs_by_vector)(model, indexed, paired, len(names), binary))
+    reference = runs.filter("f = -1").first()["quality"]
+    lookup = F.array(*[F.lit(c) for c in names])
+    drops = (
+        runs.filter("f >= 0")
+        .groupBy("f")
+        .agg(
+            F.avg(F.lit(reference) - F.col("quality")).alias("perm_imp"),
+            F.stddev_pop(F.lit(reference) - F.col("quality")).alias("perm_imp_std"),
+        )
+        .select(F.element_at(lookup, F.col("f") + 1).alias("feature"), "perm_imp", "perm_imp_std")
+    )
+    return average_rank(durable(drops), "perm_imp", "perm_imp_rank") if rank else drops
+
+
+def _runs_by_vector(model, indexed: DataFrame, paired: DataFrame, width: int, binary: bool) -> DataFrame:
+    """(f, it, quality) with one whole vector for each switched feature."""
+    shuffled = paired.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("f")).select(
         "f",
         "it",
         LABEL,
@@ -70,19 +93,49 @@ def permutation_importance(model, df: DataFrame, keys: Sequence[str], names: Seq
     else:
         y, p = F.col(LABEL), F.col("__score")
         quality = 1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))
-    runs = durable(scored.groupBy("f", "it").agg(quality.alias("quality")))
-    reference = runs.filter("f = -1").first()["quality"]
-    lookup = F.array(*[F.lit(c) for c in names])
-    drops = (
-        runs.filter("f >= 0")
-        .groupBy("f")
-        .agg(
-            F.avg(F.lit(reference) - F.col("quality")).alias("perm_imp"),
-            F.stddev_pop(F.lit(reference) - F.col("quality")).alias("perm_imp_std"),
-        )
-        .select(F.element_at(lookup, F.col("f") + 1).alias("feature"), "perm_imp", "perm_imp_std")
-    )
-    return average_rank(durable(drops), "perm_imp", "perm_imp_rank") if rank else drops
+    return scored.groupBy("f", "it").agg(quality.alias("quality"))
+
+
+def _runs_by_tree(model: Boosted, indexed: DataFrame, paired: DataFrame, width: int, binary: bool) -> DataFrame:
+    """(f, it, quality): margins are kept by tree, and a switched feature rescores the trees that split on it."""
+    asked = [[t for t, tree in enumerate(model.trees) if f in tree.used()] for f in range(width)]
+    shared = indexed.sparkSession.sparkContext.broadcast((model, asked))
+
+    def sums(y: np.ndarray, margin: np.ndarray, model: Boosted) -> float:
+        score = model.link(margin)
+        return float((np.rint(score) == y).sum()) if binary else float(((y - score) ** 2).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, asked = shared.value
+        met: dict[tuple[int, int], list[float]] = {}
+        for batch in batches:
+            its, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for it in np.unique(its):
+                rows = np.flatnonzero(its == it)
+                y = labels[rows]
+                own, other = (model.binned(matrix(batch.column(i).take(pa.array(rows)), width)) for i in (2, 3))
+                by_tree = [tree.value[tree.nodes(own)] for tree in model.trees]
+                margin = model.base + np.sum(by_tree, axis=0, initial=0.0) if by_tree else np.full(len(y), model.base)
+                for f in [-1, *range(width)]:
+                    if f >= 0 and asked[f]:
+                        switched = own.copy()
+                        switched[:, f] = other[:, f]
+                        value = margin + sum(model.trees[t].value[model.trees[t].nodes(switched)] - by_tree[t] for t in asked[f])
+                    else:
+                        value = margin
+                    total = met.setdefault((f, int(it)), [0.0, 0.0, 0.0, 0.0])
+                    total[0] += len(y)
+                    total[1] += sums(y, value, model)
+                    total[2] += float(y.sum())
+                    total[3] += float((y * y).sum())
+        columns = [[f for f, _ in met], [it for _, it in met], *([v[i] for v in met.values()] for i in range(4))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 2 + [pa.float64()] * 4, strict=True)], ["f", "it", "n", "s", "y", "yy"])
+
+    found = paired.select("it", F.col(LABEL).cast("double").alias("label"), "x", "other").mapInArrow(run, "f int, it int, n double, s double, y double, yy double")
+    total = found.groupBy("f", "it").agg(*[F.sum(c).alias(c) for c in ("n", "s", "y", "yy")])
+    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    quality = F.col("s") / F.col("n") if binary else 1 - F.try_divide(F.col("s"), spread)
+    return total.select("f", "it", quality.alias("quality"))
 
 
 def useful_features(importance: DataFrame) -> DataFrame:
@@ -93,6 +146,8 @@ def sampled_shapley(model, df: DataFrame, keys: Sequence[str], names: Sequence[s
                     orderings: int = 4, binary: bool = True, seed: int = 42) -> DataFrame:
     """Shapley values by random feature orderings, each against a background row; of all rows, or of `rows` sampled ones.
 
+    For models of `boosting`, `tree_shapley` gives them without orderings.
+
     For one ordering, features switch one by one from the background row's value to the row's own value;
     the change of the score at each switch is that feature's contribution. Contributions of one ordering
     add up to score(row) - score(background row), so the averages add up to score(row) - mean background.
@@ -152,6 +207,100 @@ def sampled_shapley(model, df: DataFrame, keys: Sequence[str], names: Sequence[s
     )
 
 
+def leaf_paths(tree: Tree) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """(value, features, above, upto) of each leaf: a row reaches it if above < bin <= upto holds for all of its features."""
+    out = []
+
+    def walk(node: int, limits: dict[int, tuple[int, int]]) -> None:
+        f = int(tree.feature[node])
+        if f < 0:
+            items = sorted(limits.items())
+            out.append((float(tree.value[node]), *(np.array(c, np.int64) for c in ([i for i, _ in items], [a for _, (a, _) in items], [b for _, (_, b) in items]))))
+            return
+        low, high = limits.get(f, (-1, 255))
+        cut = int(tree.bin[node])
+        walk(2 * node + 1, limits | {f: (low, min(high, cut))})
+        walk(2 * node + 2, limits | {f: (max(low, cut), high)})
+
+    walk(0, {})
+    return out
+
+
+def pair_contributions(model: Boosted, x: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact Shapley values of each row's margin against its own background row, by feature.
+
+    A leaf counts for a mixture of both rows if it takes all features that only x satisfies (there are s of them) from
+    x and all that only b satisfies (t) from b. Over all orderings that gives a feature of the first kind
+    (s-1)! t! / (s+t)! of the leaf's value, and one of the second kind -s! (t-1)! / (s+t)!.
+    """
+    out = np.zeros(x.shape)
+    weight = np.array([[math.factorial(max(s - 1, 0)) * math.factorial(t) / math.factorial(s + t) for t in range(33)] for s in range(33)])
+    for tree in model.trees:
+        for value, features, above, upto in leaf_paths(tree):
+            if not len(features):
+                continue
+            of_x, of_b = ((above < r[:, features]) & (r[:, features] <= upto) for r in (x, b))
+            reached = (of_x | of_b).all(axis=1)
+            only_x, only_b = of_x & ~of_b & reached[:, None], of_b & ~of_x & reached[:, None]
+            s, t = only_x.sum(axis=1), only_b.sum(axis=1)
+            out[:, features] += value * (only_x * weight[s, t][:, None] - only_b * weight[t, s][:, None])
+    return out
+
+
+def tree_shapley(model: Boosted, df: DataFrame, keys: Sequence[str], names: Sequence[str], rows: int | None = None,
+                 backgrounds: int = 8, tolerance: float | None = None, seed: int = 42) -> DataFrame:
+    """Shapley values of a boosted model's margin (log-odds for classifiers), with their standard error.
+
+    Each row is compared with `backgrounds` other rows; against each, its values are exact, from the leaves alone, so
+    only the choice of backgrounds is random. With `tolerance`, their number doubles until the mean standard error is
+    at most that share of the mean absolute value, or every row has met every other.
+    Returns (keys..., feature, shap, shap_se, score, base); per row, the values add up to score - base.
+    """
+    sample = df.select(*keys, FEATURES)
+    if rows is not None:
+        sample = hash_sample(sample, keys, rows, seed)
+    sample = durable(dense_index(sample.select(*keys, vector_to_array(FEATURES).alias("x")), keys, portable_hash(seed + 1, *keys)))
+    size, width = sample.count(), len(names)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([T.StructField("row", T.StructType([sample.schema[k] for k in keys])), *T.StructType.fromDDL("values array<double>, score double, base double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            x, b = (model.binned(matrix(batch.column(i), width)) for i in (1, 2))
+            values = pair_contributions(model, x, b)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * width, pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(model.margins(x)), pa.array(model.margins(b))], ["row", "values", "score", "base"])
+
+    def met(first: int, end: int) -> DataFrame:
+        """Sums by row and feature over the backgrounds first .. end-1: rows a fixed distance further on."""
+        step = (portable_hash(seed, F.lit("first")) % max(size - 1, 1) + F.col("o")) % max(size - 1, 1) + 1
+        fanned = sample.select("*", F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("o"))
+        partners = sample.select(F.col("__index").alias("partner"), F.col("x").alias("b"))
+        pairs = fanned.withColumn("partner", (F.col("__index") + step) % size).join(partners, "partner")
+        found = pairs.select(F.struct(*keys).alias("row"), "x", "b").mapInArrow(run, schema)
+        long = found.select("row.*", "score", "base", F.posexplode("values").alias("f", "v"))
+        return long.groupBy(*keys, "f").agg(F.count("v").alias("n"), F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("vv"), F.sum("base").alias("base"), F.max("score").alias("score"))
+
+    most = max(size - 1, 1)
+    done = min(backgrounds, most)
+    state = durable(met(0, done))
+    mean = F.col("v") / F.col("n")
+    spread = F.greatest(F.col("vv") - F.col("v") * mean, F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))
+    # The sample of backgrounds is drawn without replacement from `most` rows.
+    error: Column = F.sqrt(spread / F.col("n") * (1 - F.col("n") / most))
+    while tolerance is not None and done < most:
+        now = state.agg(F.avg(error).alias("error"), F.avg(F.abs(mean)).alias("size")).first()
+        if now.error is None or now.error <= tolerance * now.size:
+            break
+        end = min(2 * done, most)
+        both = state.unionByName(met(done, end))
+        state = durable(both.groupBy(*keys, "f").agg(*[F.sum(c).alias(c) for c in ("n", "v", "vv", "base")], F.max("score").alias("score")))
+        done = end
+    lookup = F.array(*[F.lit(c) for c in names])
+    return state.select(*keys, F.element_at(lookup, F.col("f") + 1).alias("feature"), mean.alias("shap"), error.alias("shap_se"), "score", (F.col("base") / F.col("n")).alias("base"))
+
+
 def shapley_summary(values: DataFrame, n: int = 20) -> DataFrame:
     """Features by mean absolute contribution."""
     means = values.groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
