@@ -21,7 +21,7 @@ from tidemark.session import durable
 
 ID = "analytical_customer_id"
 PLANTED = "target_planted_0_1"
-PARAMS = models.QUICK
+PARAMS = models.STEADY
 
 
 _FRAME = f"""WITH {q.WITH_PROFILE}, {q.FEATURES}, frame AS (
@@ -145,19 +145,19 @@ def _(spark, sf):
 @query("sampled_shapley")
 def _(spark, sf):
     valid, model, names = _vectors(spark, sf)
-    return explain.sampled_shapley(model, valid, [ID], names, orderings=2)
+    return explain.tree_shapley(model, valid, [ID], names)
 
 
 @query("shapley_summary")
 def _(spark, sf):
     valid, model, names = _vectors(spark, sf)
-    return explain.shapley_summary(explain.sampled_shapley(model, valid, [ID], names, orderings=2))
+    return explain.shapley_summary(explain.tree_shapley(model, valid, [ID], names))
 
 
 @query("row_forces")
 def _(spark, sf):
     valid, model, names = _vectors(spark, sf)
-    values = durable(explain.sampled_shapley(model, valid, [ID], names, orderings=2))
+    values = durable(explain.tree_shapley(model, valid, [ID], names))
     explained = values.agg(F.min(ID)).first()[0]
     return explain.row_forces(values.filter(F.col(ID) == F.lit(explained)), n=20)
 
@@ -196,7 +196,7 @@ def _(spark, sf):
 
     rows = targets.with_targets(features.feature_table(spark, sf, RUN))
     paths = scoring.scoring_run(
-        rows, scoring.quick_commerce_tasks(RUN, PARAMS), RUN, scratch_path(spark, "weekly"), parallelism=4
+        rows, scoring.quick_commerce_tasks(RUN, PARAMS), RUN, scratch_path(spark, "weekly")
     )
     rows = spark.read.parquet(paths["predictions"])
     there = {n: _share(n) if t in (targets.GENERAL, targets.ORGANIC) else F.col(n).isNotNull() for t, n in _FINAL.items()}
@@ -210,6 +210,26 @@ def _(spark, sf):
 
     rows = targets.with_dark_store_targets(features.feature_table(spark, sf, RUN, dark_stores=True))
     paths = scoring.scoring_run(
-        rows, scoring.dark_store_tasks(RUN, PARAMS), RUN, scratch_path(spark, "dark"), parallelism=4
+        rows, scoring.dark_store_tasks(RUN, PARAMS), RUN, scratch_path(spark, "dark")
     )
     return spark.read.parquet(paths["metrics"])
+
+
+FRACTIONS = (0.01, 0.04, 0.07, 0.1)
+
+
+@query("imbalance_recall")
+def _(spark, sf):
+    from tidemark.plans import experiment
+
+    df = frame(spark, sf)
+    scores = experiment.simulate_scores(df, [ID], PLANTED, inputs(df), PARAMS, seeds=7, fractions=FRACTIONS)
+    return experiment.recall_interval(durable(experiment.recall_by_run(scores, PLANTED)))
+
+
+@query("experiment_cluster_recall")
+def _(spark, sf):
+    from tidemark.plans import experiment
+
+    df = frame(spark, sf)
+    return experiment.run_experiment(df, [ID], PLANTED, inputs(df), PARAMS, seeds=5, sizes=(10, 20)).clusters

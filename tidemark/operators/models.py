@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import portable_hash
 from tidemark.operators import boosting as histogram
+from tidemark.operators.lookup import quoted
 from tidemark.operators.sampling import split_exact, split_label
 from tidemark.session import durable
 
@@ -66,6 +67,9 @@ ORGANIC_SINGLE = TreeParams(2000, 0.05, 7, 100)
 ORGANIC_OOF = TreeParams(1000, 0.05, 7, 100)
 VALUE = TreeParams(2000, 0.02, 7, 100)
 
+# Enough rounds for the patience to act, each going further: for runs on a machine or a morning.
+STEADY = TreeParams(n_estimators=128, learning_rate=0.2, max_depth=4, min_child_samples=20, l1=0.0)
+
 # A setting with fewer rounds, each going further, for checks on little data.
 QUICK = TreeParams(n_estimators=8, learning_rate=0.3, max_depth=4, min_child_samples=5)
 
@@ -82,18 +86,16 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str],
     """
     if names is None:
         nullable = [f.name for f in df.schema.fields if f.name in set(features) and f.nullable]
-        gaps = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in nullable]).first() if nullable else {}
-        flagged = [c for c in nullable if gaps[c]]
+        gaps = df.agg(*[F.count(F.when(F.col(quoted(c)).isNull(), 1)) for c in nullable]).first() if nullable else ()
+        flagged = [c for c, n in zip(nullable, gaps, strict=True) if n]
     else:
         flagged = [n.removesuffix(FLAG) for n in names if n.endswith(FLAG)]
-    flags = {f"{c}{FLAG}": F.col(c).isNull().cast("double") for c in flagged}
-    filled = df.select(
-        *keep,
-        *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(f"__f_{c}") for c in features],
-        *[e.alias(f"__f_{name}") for name, e in flags.items()],
-    )
-    names = [*features, *flags]
-    vectors = VectorAssembler(inputCols=[f"__f_{c}" for c in names], outputCol=FEATURES).transform(filled)
+    names = [*features, *[f"{c}{FLAG}" for c in flagged]]
+    filled = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(MISSING)) for c in features]
+    filled += [F.col(quoted(c)).isNull().cast("double") for c in flagged]
+    inputs = [f"__f_{i}" for i in range(len(names))]
+    rows = df.select(*keep, *[e.alias(n) for e, n in zip(filled, inputs, strict=True)])
+    vectors = VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(rows)
     return vectors.select(*keep, FEATURES), names
 
 
@@ -235,25 +237,35 @@ def out_of_fold(df: DataFrame, keys: Sequence[str], target: str, features: Seque
     )
     train = vectors.filter(F.col("__role") == "train")
 
-    def stops(i: int) -> Column:
-        return F.col("fold") == (i + 1) % folds if folds > 2 and early_stop else F.lit(False)
-
     def fit(i: int):
-        return trainer(train.filter(F.col("fold") != i).withColumn("is_valid", stops(i)))
+        stops = F.col("fold") == (i + 1) % folds if folds > 2 and early_stop else F.lit(False)
+        return trainer(train.filter(F.col("fold") != i).withColumn("is_valid", stops))
 
     if isinstance(trainer, BoostedTrees):
-        learns = [(F.col("__role") == "train") & (F.col("fold") != i) for i in range(folds)]
-        models = trainer.fit_many(vectors, [F.when(on, F.when(stops(i), histogram.STOPS).otherwise(histogram.TRAINS)) for i, on in enumerate(learns)])
+        models = trainer.fit_many(vectors, fold_roles(F.col("__role") == "train", F.col("fold"), folds, early_stop))
     else:
         with ThreadPoolExecutor(parallelism) as pool:
             models = list(pool.map(fit, range(folds)))
+    scored = out_of_fold_scores(vectors, models, output, binary, population is not None)
+    return scored.drop(LABEL, FEATURES).withColumnRenamed("__role", "role"), models, names
+
 
+def fold_roles(trains: Column, fold: Column, folds: int = 5, early_stop: bool = True) -> list[Column]:
+    """Model i learns from the rows that train but fold i; fold i + 1 stops it early, if there are more than two."""
+    stops = [fold == (i + 1) % folds if folds > 2 and early_stop else F.lit(False) for i in range(folds)]
+    return [F.when(trains & (fold != i), F.when(s, histogram.STOPS).otherwise(histogram.TRAINS)) for i, s in enumerate(stops)]
+
+
+def out_of_fold_scores(vectors: DataFrame, models: Sequence, output: str, binary: bool, predict: bool) -> DataFrame:
+    """Training rows by the model of their fold; with `predict`, also the "predict" rows, by the mean of all models."""
+    folds = len(models)
+    train = vectors.filter(F.col("__role") == "train")
     own = [score_column(m, train.filter(F.col("fold") == i), output, binary) for i, m in enumerate(models)]
     scored = reduce(DataFrame.unionByName, own)
-    if population is not None:
+    if predict:
         rest = vectors.filter(F.col("__role") == "predict")
         for i, m in enumerate(models):
             rest = score_column(m, rest, f"__p{i}", binary)
         mean = reduce(lambda a, b: a + b, [F.col(f"__p{i}") for i in range(folds)]) / folds
         scored = scored.unionByName(rest.withColumn(output, mean).drop(*[f"__p{i}" for i in range(folds)]))
-    return scored.drop(LABEL, FEATURES).withColumnRenamed("__role", "role"), models, names
+    return scored

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import portable_hash, uniform
-from tidemark.operators.lookup import skew_safe_lookup
+from tidemark.operators.lookup import quoted, skew_safe_lookup
 from tidemark.session import durable
 
 
@@ -64,7 +64,7 @@ def split_exact(df: DataFrame, keys: Sequence[str], stratum: str, seed: int = 42
     decided = looked_up.filter(~at_end).withColumn("__valid", F.col("__bucket") < F.col("__end"))
     ranked = looked_up.filter(at_end).withColumn("__valid", place <= F.col("__open"))
     label = F.when(F.col("__valid"), "valid").otherwise("train").alias("split")
-    return decided.unionByName(ranked).select(*df.columns, label)
+    return decided.unionByName(ranked).select(*map(quoted, df.columns), label)
 
 
 def assign_folds(df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 41) -> DataFrame:
@@ -92,7 +92,7 @@ def hash_sample(df: DataFrame, keys: Sequence[str], rows: int, seed: int = 42) -
         before += n
     whole = marked.filter(F.col("__bucket") < end)
     last = marked.filter(F.col("__bucket") == end).orderBy("__hash", *keys).limit(rows - before)
-    return whole.unionByName(last).select(*df.columns)
+    return whole.unionByName(last).select(*map(quoted, df.columns))
 
 
 def simulated_samples(df: DataFrame, target: str, keys: Sequence[str], seeds: int = 30,
