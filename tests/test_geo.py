@@ -90,3 +90,25 @@ def test_several_minimum_sizes_from_one_run(spark):
         alone = {r.k: (r.cluster, r.outlier_score) for r in geo.density_clusters(df, "k", 0.01, 5, size).collect()}
         assert alone == {k: (r[f"cluster_{size}"], r[f"outlier_score_{size}"]) for k, r in together.items()}
     assert together[100]["cluster_10"] == 100 and together[100]["cluster_30"] == -1 and together[200]["cluster_10"] is None
+
+
+def test_several_radii_in_one_pass_with_a_hot_spot(spark):
+    """A third of the points within a small spot, a third spread out, a third on one coordinate; two radii far apart."""
+    rng = random.Random(3)
+    points = [(i, 59 + rng.gauss(0, 0.002), 18 + rng.gauss(0, 0.002)) for i in range(200)]
+    points += [(300 + i, 59 + rng.uniform(-0.3, 0.3), 18 + rng.uniform(-0.3, 0.3)) for i in range(200)]
+    points += [(600 + i, 59.01, 18.01) for i in range(200)]
+    df = spark.createDataFrame(points, "id long, cust_lat double, cust_long double")
+    for leaf in (5, 128):
+        rows = geo.radius_density(df, [0.003, 0.1], leaf=leaf).collect()
+        for r in (0.003, 0.1):
+            assert {x["id"]: x[f"density_count_radius_{r}"] for x in rows} == brute_counts(points, r)
+
+
+def test_cells_are_asked_by_cells_around_them_only():
+    for radius in (0.01, 0.03, 0.25, 1.0, 3.0):
+        size = geo._base_size(radius)
+        offsets = geo._offsets(radius, size)
+        assert radius < size <= 2 * radius and len(offsets) == 9 and not any(inside for *_, inside in offsets)
+        finer = geo._offsets(radius, size / 16)
+        assert any(inside for *_, inside in finer) and len(finer) > len(offsets)

@@ -1,7 +1,8 @@
 """Geographic features: neighbours within a radius, clusters, population lookup.
 
-Neighbour counting never emits point pairs. Points are collapsed to distinct coordinates, put in grid
-cells, and each query point asks only the cells its circle touches:
+Neighbour counting never emits point pairs. Points are collapsed to distinct coordinates and put in grid
+cells. `neighbour_counts` lets cells ask cells, level by level, for all radii at once. Where the links of
+single points are asked for (`_hits_per_cell`), each query point asks only the cells its circle touches:
 
 * a cell wholly inside the circle answers with its total,
 * a small cell (at most LEAF coordinates) carries its coordinates along and is tested in place,
@@ -12,8 +13,13 @@ So a crowded place costs work along the circle's rim, not the square of its popu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -25,6 +31,7 @@ from tidemark.operators.sampling import hash_sample
 from tidemark.session import durable
 
 LEAF = 256
+CELL_LEAF = 128  # coordinates of a cell that meets others as a list
 SPLIT = 4  # a crowded cell becomes SPLIT x SPLIT cells
 _MARGIN = 1e-9  # relative slack: anything this close to the rim is tested point by point
 
@@ -142,28 +149,136 @@ def _in_grid(points: DataFrame, size: float) -> DataFrame:
     )
 
 
-def coordinate_density(points: DataFrame, radius: float, leaf: int = LEAF) -> DataFrame:
+def _base_size(radius: float) -> float:
+    """The power of two above the radius (twice the radius at most): cell numbers of all levels are exact."""
+    return 2.0 ** (math.floor(math.log2(radius)) + 1)
+
+
+def _offsets(radius: float, size: float) -> list[tuple[int, int, bool]]:
+    """(dx, dy, inside) of the cells that can hold points within `radius` of a point of cell (0, 0).
+
+    inside: all pairs of points of the two cells are within the radius.
+    """
+    reach = int(radius / size) + 2
+    out = []
+    for dx in range(-reach, reach + 1):
+        for dy in range(-reach, reach + 1):
+            near = (max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2) * size * size
+            far = ((abs(dx) + 1) ** 2 + (abs(dy) + 1) ** 2) * size * size
+            if near <= radius * radius * (1 + _MARGIN):
+                out.append((dx, dy, far <= radius * radius * (1 - _MARGIN)))
+    return out
+
+
+def _by_radius(values: Sequence[float]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("ri") + 1)
+
+
+def _cells(points: DataFrame, sizes: Sequence[float]) -> DataFrame:
+    """The points once for each radius, with the numbers of their cells."""
+    each = points.select("x", "y", "w", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))).alias("ri"))
+    size = _by_radius(sizes)
+    return each.select("ri", "x", "y", "w", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+
+
+_CELL = ("ri", "cx", "cy")
+_HITS = "ri int, x double, y double, hits bigint"
+
+
+def _tested(radii: Sequence[float]):
+    """For each cell: its points, the total of the cells inside, and the points of the cells on the rim."""
+    squares = [r * r for r in radii]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ri, inside = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sides = []
+            for column in batch.columns[2:]:
+                flat = column.flatten()
+                ends = np.r_[0, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())]
+                sides.append((ends, *(flat.field(i).to_numpy() for i in range(3))))
+            (qe, qx, qy, _qw), (pe, px, py, pw) = sides
+            hits = np.repeat(inside, np.diff(qe))
+            for i in range(batch.num_rows):
+                q, p = slice(qe[i], qe[i + 1]), slice(pe[i], pe[i + 1])
+                dx, dy = px[p] - qx[q, None], py[p] - qy[q, None]
+                hits[q] += (dx * dx + dy * dy <= squares[ri[i]]) @ pw[p]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ri, np.diff(qe))), pa.array(qx), pa.array(qy), pa.array(hits)], ["ri", "x", "y", "hits"])
+
+    return run
+
+
+def neighbour_counts(points: DataFrame, radii: Sequence[float], leaf: int = CELL_LEAF) -> DataFrame:
+    """(ri, x, y, hits): rows within radii[ri] of each distinct coordinate, itself included; all radii in one pass.
+
+    `points` = (x, y, w), stored, with unique coordinates. Cells ask cells, not points: whether two cells lie wholly
+    within the radius, or may do so in part, follows from how far they are apart. Cells wholly within answer with their
+    total. Cells of at most `leaf` coordinates on the rim meet as two short lists. Only pairs with a crowded cell go on
+    to the next level, as cells of half the size, so a crowded place costs work along the rim. A cell is asked by as many
+    cells as lie around it, however many points they hold.
+    """
+    sizes = [_base_size(r) for r in radii]
+    offsets = [(i, *o) for i, (r, s) in enumerate(zip(radii, sizes, strict=True)) for o in _offsets(r, s)]
+    around = points.sparkSession.createDataFrame(offsets, "ri int, dx bigint, dy bigint, inside boolean")  # nine for each radius
+    answers, asked = [], None
+    while True:
+        placed = _cells(points, sizes)
+        counted = durable(placed.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("n")))
+        crowded = not counted.filter(F.col("m") > leaf).isEmpty()
+        if crowded:  # lists are gathered for the others only
+            dim = counted.filter(F.col("m") > leaf).select(*_CELL, "m", F.lit(True).alias("crowded"))
+            placed = skew_safe_lookup(placed, durable(dim), _CELL, "m").filter("crowded IS NULL")
+        lists = placed.groupBy(*_CELL).agg(F.collect_list(F.struct("x", "y", "w")).alias("pts"))
+        cells = durable(counted.join(lists, list(_CELL), "left")) if crowded else durable(lists.select(*_CELL, "pts", F.size("pts").cast("bigint").alias("m"), F.aggregate("pts", F.lit(0).cast("bigint"), lambda t, p: t + p["w"]).alias("n")))
+        if asked is None:
+            own = cells.select("ri", F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("m").alias("qm")).join(F.broadcast(around), "ri")
+            asked = own.select("ri", "qx", "qy", "qm", (F.col("qx") + F.col("dx")).alias("px"), (F.col("qy") + F.col("dy")).alias("py"), "inside")
+        else:
+            asked = asked.join(cells.select("ri", F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("m").alias("qm")), ["ri", "qx", "qy"])
+        others = cells.select("ri", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("m").alias("pm"), F.col("n").alias("pn"), F.col("pts").alias("ppts"))
+        met = asked.join(others, ["ri", "px", "py"])
+        open_ = ~F.col("inside") & ((F.col("qm") > leaf) | (F.col("pm") > leaf))
+        if crowded:
+            met = durable(met)
+        rim = F.when(~F.col("inside") & ~open_, F.col("ppts"))
+        answered = met.groupBy("ri", F.col("qx").alias("cx"), F.col("qy").alias("cy")).agg(
+            F.coalesce(F.sum(F.when(F.col("inside"), F.col("pn"))), F.lit(0).cast("bigint")).alias("inside_n"),
+            F.flatten(F.collect_list(rim)).alias("rim"),  # the offsets and `leaf` bound it
+        )
+        if crowded:
+            answered = durable(answered)
+        full = answered.join(cells.select(*_CELL, "pts", "m"), list(_CELL))
+        answers.append(full.filter(F.col("m") <= leaf).select("ri", "inside_n", "pts", "rim").mapInArrow(_tested(radii), _HITS))
+        if not crowded:
+            break
+        # What lies wholly within the radius of a crowded cell counts for all of its points.
+        whole = full.filter((F.col("m") > leaf) & (F.col("inside_n") > 0)).select(*_CELL, "m", F.col("inside_n").alias("hits"))
+        answers.append(skew_safe_lookup(_cells(points, sizes), durable(whole), _CELL, "m").filter("hits IS NOT NULL").select("ri", "x", "y", "hits"))
+        sizes = [s / 2 for s in sizes]
+        asked = met.filter(open_).select("ri", "qx", "qy", "px", "py")
+        for c in ("qx", "qy", "px", "py"):
+            asked = asked.select(*[o for o in asked.columns if o != c], F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c))
+        gap = [F.abs(F.col(f"p{a}") - F.col(f"q{a}")) for a in "xy"]
+        near = sum(F.greatest(g - 1, F.lit(0)) * F.greatest(g - 1, F.lit(0)) for g in gap)
+        far = sum((g + 1) * (g + 1) for g in gap)
+        square = _by_radius([r * r / (s * s) for r, s in zip(radii, sizes, strict=True)])
+        asked = durable(asked.filter(near <= square * (1 + _MARGIN)).withColumn("inside", far <= square * (1 - _MARGIN)))
+    return reduce(DataFrame.unionByName, answers).groupBy("ri", "x", "y").agg(F.sum("hits").alias("hits"))
+
+
+def coordinate_density(points: DataFrame, radius: float, leaf: int = CELL_LEAF) -> DataFrame:
     """(x, y, hits): rows within `radius` of each distinct coordinate, itself included."""
-    size = 2 * radius
-    asked = points.select("x", "y", _touched(F.col("x"), radius, size).alias("cx")).select(
-        "x", "y", "cx", _touched(F.col("y"), radius, size).alias("cy")
-    )
-    hits = _hits_per_cell(_in_grid(points, size), asked, ["x", "y"], radius, size, leaf)
-    return hits.groupBy("x", "y").agg(F.sum("hits").alias("hits"))
+    return neighbour_counts(points, [radius], leaf).drop("ri")
 
 
 def radius_density(df: DataFrame, radii: Sequence[float], x: str = "cust_lat", y: str = "cust_long",
-                   leaf: int = LEAF) -> DataFrame:
+                   leaf: int = CELL_LEAF) -> DataFrame:
     """Add `density_count_radius_<r>`: rows within r (Euclidean, self included). Missing coordinates give NULL."""
     points = durable(_coordinates(df, x, y))
-    for radius in radii:
-        name = f"density_count_radius_{radius}"
-        density = coordinate_density(points, radius, leaf)
-        dim = points.join(density, ["x", "y"]).select(
-            F.col("x").alias(x), F.col("y").alias(y), "w", F.col("hits").alias(name)
-        )
-        df = skew_safe_lookup(df, durable(dim), [x, y], "w")
-    return df
+    found = neighbour_counts(points, radii, leaf)
+    wide = found.groupBy("x", "y").agg(*[F.sum(F.when(F.col("ri") == i, F.col("hits"))).alias(f"density_count_radius_{r}") for i, r in enumerate(radii)])
+    dim = points.join(wide, ["x", "y"]).withColumnsRenamed({"x": x, "y": y})
+    return skew_safe_lookup(df, durable(dim), [x, y], "w")
 
 
 def _cell_id(cx: Column, cy: Column) -> Column:
@@ -188,7 +303,7 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int,
     most two dozen neighbours each, never one of rows.
     """
     points = durable(_coordinates(df, x, y))
-    density = durable(points.join(coordinate_density(points, radius, leaf), ["x", "y"]))
+    density = durable(points.join(coordinate_density(points, radius, min(leaf, CELL_LEAF)), ["x", "y"]))
     size = radius / 2**0.5 * (1 - 1e-9)
     core = durable(_in_grid(density.filter(F.col("hits") >= min_samples), size))
     own = [F.col("cx").alias("ax"), F.col("cy").alias("ay")]
