@@ -112,3 +112,27 @@ def test_cells_are_asked_by_cells_around_them_only():
         assert radius < size <= 2 * radius and len(offsets) == 9 and not any(inside for *_, inside in offsets)
         finer = geo._offsets(radius, size / 16)
         assert any(inside for *_, inside in finer) and len(finer) > len(offsets)
+
+
+def test_kmeans_steps_against_plain_loops(spark):
+    rng = random.Random(5)
+    points = [(i, rng.choice([59.0, 59.2, 59.5]) + rng.gauss(0, 0.03), 18 + rng.gauss(0, 0.05)) for i in range(300)] + [(400 + i, -59.25, 18.5) for i in range(30)]
+    df = spark.createDataFrame([*points, (999, None, 18.0)], "id long, cust_lat double, cust_long double")
+    got = geo.kmeans_clusters(df.repartition(6), ["id"], sizes=(3, 7))
+    again = geo.kmeans_clusters(df.repartition(1), ["id"], sizes=(7,))
+    rows = {r.id: r for r in got.collect()}
+    assert len(rows) == 330 and {r.id: r.cluster_kmeans_7 for r in again.collect()} == {i: r.cluster_kmeans_7 for i, r in rows.items()}
+    whole = {i: (int((a * 1e6 + 0.5) // 1), int((b * 1e6 + 0.5) // 1)) for i, a, b in points}
+    order = [r.id for r in df.filter("cust_lat IS NOT NULL").orderBy(geo.portable_hash(42, "id"), "id").collect()]
+    for k in (3, 7):
+        centres = [whole[i] for i in order[:k]]
+        while True:
+            label = {i: min(range(k), key=lambda c, p=p: ((p[0] - centres[c][0]) ** 2 + (p[1] - centres[c][1]) ** 2, c)) for i, p in whole.items()}
+            moved = []
+            for c in range(k):
+                mine = [whole[i] for i in whole if label[i] == c]
+                moved.append(tuple(sum(p[d] for p in mine) // len(mine) for d in (0, 1)) if mine else centres[c])
+            if moved == centres:
+                break
+            centres = moved
+        assert {i: r[f"cluster_kmeans_{k}"] for i, r in rows.items()} == label

@@ -71,9 +71,34 @@ def _(spark, sf):
     return geo.cell_population(rows, lookup, "last_order_h3_level_8")
 
 
-@query("geo_kmeans")
+KMEANS_STEPS = 25  # what both sides take at most; centres that rest earlier stay where they are
+
+
+def _kmeans_column(k: int) -> str:
+    return f"CAST(arg_min(c, CAST((lat - px) * (lat - px) + (lon - py) * (lon - py) AS HUGEINT) * 1000 + c) FILTER (k = {k}) AS INTEGER) AS cluster_kmeans_{k}"
+
+
+@query(
+    "geo_kmeans",
+    f"""WITH RECURSIVE {POSITIONS}, pts AS MATERIALIZED (
+      SELECT *, CAST(floor(cust_lat * 1e6 + 0.5e0) AS BIGINT) AS lat, CAST(floor(cust_long * 1e6 + 0.5e0) AS BIGINT) AS lon,
+        row_number() OVER (ORDER BY {q.score(42, ID)}, {ID}) - 1 AS place
+      FROM pos WHERE cust_lat IS NOT NULL AND cust_long IS NOT NULL),
+    steps(i, k, c, px, py) AS (
+      SELECT 0, k, place, lat, lon FROM (VALUES {', '.join(f'({k})' for k in geo.KMEANS_SIZES)}) sizes(k) JOIN pts ON place < k
+      UNION ALL
+      SELECT i + 1, k, c, coalesce(CAST(sum(lat) FILTER (near) // count(*) FILTER (near) AS BIGINT), any_value(px)),
+        coalesce(CAST(sum(lon) FILTER (near) // count(*) FILTER (near) AS BIGINT), any_value(py))
+      FROM (SELECT s.*, p.lat, p.lon,
+          row_number() OVER (PARTITION BY k, p.place ORDER BY (lat - px) * (lat - px) + (lon - py) * (lon - py), c) = 1 AS near
+        FROM steps s, pts p WHERE s.i < {KMEANS_STEPS})
+      GROUP BY i, k, c)
+    SELECT global_entity_id, {ID}, any_value(cust_lat) AS cust_lat, any_value(cust_long) AS cust_long,
+      {', '.join(_kmeans_column(k) for k in geo.KMEANS_SIZES)}
+    FROM pts, (SELECT * FROM steps WHERE i = {KMEANS_STEPS}) GROUP BY global_entity_id, {ID}""",
+)
 def _(spark, sf):
-    return geo.kmeans_clusters(positions(spark, sf), [ID])
+    return geo.kmeans_clusters(positions(spark, sf), [ID], steps=KMEANS_STEPS)
 
 
 @query(

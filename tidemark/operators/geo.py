@@ -20,11 +20,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import portable_hash
 from tidemark.operators.graph import connected_components
 from tidemark.operators.lookup import skew_safe_lookup
 from tidemark.operators.sampling import hash_sample
@@ -352,21 +351,80 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int,
 KMEANS_SIZES = (10, 20, 50, 100)
 
 
+MICRO = 1_000_000  # coordinates are compared in millionths of a degree
+KMEANS_STEPS = 300
+KMEANS_CELLS = 1 << 20  # distances held at a time
+
+
+def _nearest(px: np.ndarray, py: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each point; the first of equally near ones."""
+    out = np.zeros(len(px), np.int64)
+    rows = max(1, KMEANS_CELLS // max(len(centres), 1))
+    for at in range(0, len(px), rows):
+        dx, dy = (v[at : at + rows, None] - centres[:, i] for i, v in enumerate((px, py)))
+        out[at : at + rows] = (dx * dx + dy * dy).argmin(axis=1)
+    return out
+
+
+def kmeans_centres(points: DataFrame, seeds: Sequence[np.ndarray], steps: int = KMEANS_STEPS) -> list[np.ndarray]:
+    """Lloyd steps for several sets of centres at once: one job a step adds up whole numbers by centre.
+
+    `points` = (px, py, w) in whole numbers. Centres move to the rounded-down means of their points, so they are the same
+    however the points are partitioned. A set rests once no centre moves; a centre without points stays.
+    """
+    centres, moving = [c.copy() for c in seeds], [len(c) > 0 for c in seeds]
+    for _ in range(steps):
+        if not any(moving):
+            break
+        asked = {i: c for i, (c, m) in enumerate(zip(centres, moving, strict=True)) if m}
+
+        def sums(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            total = {i: np.zeros((3, len(c)), np.int64) for i, c in asked.items()}
+            for batch in batches:
+                px, py, w = (column.to_numpy() for column in batch.columns)
+                for i, c in asked.items():
+                    at = _nearest(px, py, c)
+                    for row, value in zip(total[i], (px * w, py * w, w), strict=True):
+                        np.add.at(row, at, value)
+            parts = [(np.full(t.shape[1], i), np.arange(t.shape[1]), *t) for i, t in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["i", "c", "sx", "sy", "n"])
+
+        # One row for each centre.
+        found = points.select("px", "py", "w").mapInArrow(sums, "i bigint, c bigint, sx bigint, sy bigint, n bigint").groupBy("i", "c").agg(*[F.sum(v).alias(v) for v in ("sx", "sy", "n")]).filter("n > 0").toArrow()
+        i, c, sx, sy, n = (found.column(v).to_numpy() for v in ("i", "c", "sx", "sy", "n"))
+        for k in asked:
+            moved = centres[k].copy()
+            mine = i == k
+            moved[c[mine], 0], moved[c[mine], 1] = sx[mine] // n[mine], sy[mine] // n[mine]
+            moving[k] = not np.array_equal(moved, centres[k])
+            centres[k] = moved
+    return centres
+
+
 def kmeans_clusters(df: DataFrame, keys: Sequence[str], sizes: Sequence[int] = KMEANS_SIZES,
                     fit_rows: int | None = None, x: str = "cust_lat", y: str = "cust_long",
-                    seed: int = 42) -> DataFrame:
-    """Add `cluster_kmeans_<k>`: centres are fitted on all placed rows, or on a hash sample of `fit_rows` of them."""
-    assembler = VectorAssembler(inputCols=[x, y], outputCol="__position")
-    placed = assembler.transform(df.dropna(subset=[x, y]))
-    sample = durable(placed.select(*keys, x, y, "__position"))
-    if fit_rows is not None:
-        sample = durable(hash_sample(sample, keys, fit_rows, seed))
-    for k in sizes:
-        model = KMeans(
-            k=k, seed=seed, featuresCol="__position", predictionCol=f"cluster_kmeans_{k}"
-        ).fit(sample)
-        placed = model.transform(placed)
-    return placed.drop("__position")
+                    seed: int = 42, steps: int = KMEANS_STEPS) -> DataFrame:
+    """Add `cluster_kmeans_<k>`: centres are fitted on all placed rows, or on a hash sample of `fit_rows` of them.
+
+    The first centres are the rows with the smallest key hashes; all sizes take their steps in the same jobs.
+    """
+    whole = [F.floor(F.col(c).cast("double") * MICRO + 0.5).cast("bigint") for c in (x, y)]
+    placed = df.dropna(subset=[x, y])
+    sample = placed if fit_rows is None else hash_sample(placed, keys, fit_rows, seed)
+    sample = durable(sample.select(*keys, whole[0].alias("px"), whole[1].alias("py")))
+    first = hash_sample(sample, keys, max(sizes), seed).orderBy(portable_hash(seed, *keys), *keys).select("px", "py").toArrow()  # one row for each centre
+    first = np.stack([first.column(c).to_numpy() for c in ("px", "py")], axis=1)
+    points = durable(sample.groupBy("px", "py").agg(F.count(F.lit(1)).alias("w")))
+    centres = kmeans_centres(points, [first[:k] for k in sizes], steps)
+
+    def cluster(own: np.ndarray) -> Column:
+        @F.arrow_udf("int")
+        def number(px: pa.Array, py: pa.Array) -> pa.Array:
+            return pa.array(_nearest(px.to_numpy(zero_copy_only=False), py.to_numpy(zero_copy_only=False), own).astype(np.int32))
+
+        return number(*whole)
+
+    return placed.select("*", *[cluster(c).alias(f"cluster_kmeans_{k}") for k, c in zip(sizes, centres, strict=True)])
 
 
 def cell_population(df: DataFrame, population: DataFrame, cell: str, lookup_cell: str = "h38_id") -> DataFrame:
