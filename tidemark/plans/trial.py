@@ -60,25 +60,36 @@ CUISINES = 7
 
 
 def ratings_and_vendors(spark: SparkSession, directory: str, run: RunParams) -> DataFrame:
-    """Restaurant ratings and vendor habits per customer."""
-    orders = order_facts(spark, directory).filter(F.col("vertical") == RESTAURANTS)
-    stars = F.sum("rating")
-    average = safe_divide(stars, F.count("*"))
-    recent = {w: F.countDistinct(F.when(in_window(w, run.as_of), F.col("vendor_id"))) for w in ("last4w", "last16w")}
-    vendors = F.countDistinct("vendor_id")
+    """Restaurant ratings and vendor habits per customer.
+
+    Orders are grouped by customer and vendor first, so distinct vendors are plain counts of groups: a vendor lies in a
+    window if its last order does. No row is copied for a distinct count, and all buffers have a fixed width.
+    """
+    orders = order_facts(spark, directory).filter(F.col("vertical") == RESTAURANTS).withColumn("order_rank", order_rank())
+    by_vendor = orders.groupBy("analytical_customer_id", "vendor_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("rating").alias("stars"),
+        F.min("order_rank").alias("first_rank"),
+        F.min_by("rating", "order_rank").alias("first_rating"),
+        F.max("order_date").alias("order_date"),
+    )
+    known = F.col("vendor_id").isNotNull()
+    vendors = F.count("vendor_id")
+    recent = {w: F.count(F.when(in_window(w, run.as_of) & known, 1)) for w in ("last4w", "last16w")}
     # At most seven cuisines: one counter each, most frequent wins, lowest code on ties.
     cuisine = F.col("vendor_id") % CUISINES
     favourite = F.greatest(
         *[
-            F.struct(F.count(F.when(cuisine == c, 1)).alias("n"), F.lit(-c).alias("code"))
+            F.struct(F.coalesce(F.sum(F.when(cuisine == c, F.col("n"))), F.lit(0)).alias("n"), F.lit(-c).alias("code"))
             for c in range(CUISINES)
         ]
     )
-    return orders.groupBy("analytical_customer_id").agg(
+    average = safe_divide(F.sum("stars"), F.sum("n"))
+    return by_vendor.groupBy("analytical_customer_id").agg(
         F.struct(
             F.struct(
-                F.min_by("rating", order_rank()).alias("first_rating"),
-                F.count("*").alias("rating_count"),
+                F.min_by("first_rating", "first_rank").alias("first_rating"),
+                F.sum("n").alias("rating_count"),
                 average.alias("rating_average"),
                 (average / 5).alias("normalised_rating"),
                 vendors.alias("distinct_vendor_ratings_count"),
@@ -89,7 +100,7 @@ def ratings_and_vendors(spark: SparkSession, directory: str, run: RunParams) ->
                 F.concat(F.lit("cuisine_"), (-favourite.getField("code")).cast("string")).alias("favorite_cuisine"),
                 recent["last16w"].alias("distinct_vendor_orders_last16w"),
                 recent["last4w"].alias("distinct_vendor_orders_last4w"),
-                (1 - safe_divide(vendors, F.count("*"))).alias("restaurant_loyalty"),
+                (1 - safe_divide(vendors, F.sum("n"))).alias("restaurant_loyalty"),
             ).alias("restaurants")
         ).alias("vendors"),
     )
