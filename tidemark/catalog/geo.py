@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import sql as q
+from tidemark.catalog.analysis import SCORED, scored
 from tidemark.catalog.base import query
 from tidemark.functions.hashing import portable_hash
-from tidemark.operators import geo
+from tidemark.operators import geo, targets
 from tidemark.operators.flatten import KEYS, flatten, location_columns
 from tidemark.params import TEST_RUN as RUN
 from tidemark.session import durable, scratch_path
@@ -78,29 +79,48 @@ def _kmeans_column(k: int) -> str:
     return f"CAST(arg_min(c, CAST((lat - px) * (lat - px) + (lon - py) * (lon - py) AS HUGEINT) * 1000 + c) FILTER (k = {k}) AS INTEGER) AS cluster_kmeans_{k}"
 
 
-@query(
-    "geo_kmeans",
-    f"""WITH RECURSIVE {POSITIONS}, pts AS MATERIALIZED (
+def _kmeans_sql(sizes: tuple[int, ...]) -> str:
+    """CTEs pts and steps; the centres are the rows of the last step."""
+    return f"""pts AS MATERIALIZED (
       SELECT *, CAST(floor(cust_lat * 1e6 + 0.5e0) AS BIGINT) AS lat, CAST(floor(cust_long * 1e6 + 0.5e0) AS BIGINT) AS lon,
         row_number() OVER (ORDER BY {q.score(42, ID)}, {ID}) - 1 AS place
       FROM pos WHERE cust_lat IS NOT NULL AND cust_long IS NOT NULL),
     steps(i, k, c, px, py) AS (
-      SELECT 0, k, place, lat, lon FROM (VALUES {', '.join(f'({k})' for k in geo.KMEANS_SIZES)}) sizes(k) JOIN pts ON place < k
+      SELECT 0, k, place, lat, lon FROM (VALUES {', '.join(f'({k})' for k in sizes)}) sizes(k) JOIN pts ON place < k
       UNION ALL
       SELECT i + 1, k, c, coalesce(CAST(sum(lat) FILTER (near) // count(*) FILTER (near) AS BIGINT), any_value(px)),
         coalesce(CAST(sum(lon) FILTER (near) // count(*) FILTER (near) AS BIGINT), any_value(py))
       FROM (SELECT s.*, p.lat, p.lon,
           row_number() OVER (PARTITION BY k, p.place ORDER BY (lat - px) * (lat - px) + (lon - py) * (lon - py), c) = 1 AS near
         FROM steps s, pts p WHERE s.i < {KMEANS_STEPS})
-      GROUP BY i, k, c)
-    SELECT global_entity_id, {ID}, any_value(cust_lat) AS cust_lat, any_value(cust_long) AS cust_long,
-      {', '.join(_kmeans_column(k) for k in geo.KMEANS_SIZES)}
-    FROM pts, (SELECT * FROM steps WHERE i = {KMEANS_STEPS}) GROUP BY global_entity_id, {ID}""",
-)
+      GROUP BY i, k, c),
+    kmeans AS (SELECT global_entity_id, {ID}, any_value(cust_lat) AS cust_lat, any_value(cust_long) AS cust_long,
+      {', '.join(_kmeans_column(k) for k in sizes)}
+      FROM pts, (SELECT * FROM steps WHERE i = {KMEANS_STEPS}) GROUP BY global_entity_id, {ID})"""
+
+
+@query("geo_kmeans", f"WITH RECURSIVE {POSITIONS}, {_kmeans_sql(geo.KMEANS_SIZES)} SELECT * FROM kmeans")
 def _(spark, sf):
     return geo.kmeans_clusters(positions(spark, sf), [ID], steps=KMEANS_STEPS)
 
 
+@query(
+    "geo_cluster_eval",
+    f"""WITH RECURSIVE {SCORED}, pos AS (SELECT {q.KEYS}, lat AS cust_lat, lon AS cust_long FROM snap), {_kmeans_sql((10,))}
+    SELECT cluster_kmeans_10, round(avg(kmeans.cust_lat), 6) AS cust_lat, round(avg(kmeans.cust_long), 6) AS cust_long,
+      round(avg(score), 6) AS mean_score,
+      CASE WHEN min({targets.GENERAL}) <> max({targets.GENERAL}) THEN round(count(*) FILTER ({targets.GENERAL} = 1 AND round_even(score, 0) = 1)
+        / count(*) FILTER ({targets.GENERAL} = 1), 4) END AS recall
+    FROM kmeans JOIN scored USING (global_entity_id, {ID}) GROUP BY cluster_kmeans_10""",
+)
+def _(spark, sf):
+    from tidemark.plans.experiment import cluster_recall
+
+    rows = durable(scored(spark, sf))
+    placed = geo.kmeans_clusters(rows, [ID], sizes=(10,), steps=KMEANS_STEPS)
+    return cluster_recall(rows, placed, list(KEYS), "cluster_kmeans_10", targets.GENERAL, "score")
+
+
 @query(
     "geo_density_clusters",
     f"""WITH RECURSIVE {POSITIONS}, near AS (
