@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from tidemark.session import scratch_path
 from tidemark.sources import readers, writers
 from tidemark.sources.orders import order_facts
 from tidemark.sources.profile import behaviour_profile, id_map
+from tidemark.sources.profile_store import profile_from_store, update_store
 from tidemark.sources.snapshot import customer_snapshot
 from tidemark.sources.tables import customers_with_entity, table
 
@@ -74,17 +77,12 @@ def _(spark, sf):
     return trial.trial_input(spark, sf, RUN)
 
 
-@query(
-    "profile_snapshot",
-    f"""WITH {q.PEOPLE}, {q.PROFILE}, {q.profile_rows()}
+_SNAPSHOT_SQL = f"""WITH {q.PEOPLE}, {q.PROFILE}, {q.profile_rows()}
     SELECT entity AS global_entity_id, ext AS external_id, calculation_date, visits_4w, visits_12w, vendors_viewed,
-      duration, online FROM profile""",
-)
-def _(spark, sf):
-    import datetime as dt
+      duration, online FROM profile"""
 
-    days = [RUN.profile_day - dt.timedelta(days=n) for n in range(3)]
-    profile = behaviour_profile(spark, sf, days)
+
+def _snapshot_columns(profile: DataFrame) -> DataFrame:
     return features.profile_snapshot(profile, RUN.profile_day).select(
         "global_entity_id",
         "external_id",
@@ -97,6 +95,20 @@ def _(spark, sf):
     )
 
 
+@query("profile_snapshot", _SNAPSHOT_SQL)
+def _(spark, sf):
+    days = [RUN.profile_day - dt.timedelta(days=n) for n in range(3)]
+    return _snapshot_columns(behaviour_profile(spark, sf, days))
+
+
+@query("profile_store", _SNAPSHOT_SQL)
+def _(spark, sf):
+    store = scratch_path(spark, "profile-store")
+    for weeks in (2, 1, 0):  # three weekly runs, each adding its own days
+        update_store(spark, sf, store, RUN.profile_day - dt.timedelta(days=7 * weeks))
+    return _snapshot_columns(profile_from_store(spark, sf, store, RUN.profile_day))
+
+
 @query(
     "profile_map_join",
     f"""WITH {q.PEOPLE}, {q.PROFILE}, {q.profile_rows()}

@@ -13,6 +13,7 @@ from tidemark.operators.dedup import dedup_latest
 from tidemark.operators.flatten import FEATURE_PATHS, KEYS, STAGE_PATHS, flatten_features
 from tidemark.params import RunParams
 from tidemark.sources.profile import behaviour_profile, id_map
+from tidemark.sources.profile_store import profile_from_store, update_store
 from tidemark.sources.snapshot import customer_snapshot
 
 # Roll-up column -> field of the behaviour profile; each takes the largest value over a customer's profiles.
@@ -103,8 +104,14 @@ def attach_behaviour(cohort: DataFrame, rolled: DataFrame, fix_session_avg: bool
     )
 
 
-def behaviour(spark: SparkSession, directory: str, run: RunParams) -> DataFrame:
-    profile = profile_snapshot(behaviour_profile(spark, directory, [run.profile_day]), run.profile_day)
+def behaviour(spark: SparkSession, directory: str, run: RunParams, store: str | None = None) -> DataFrame:
+    """Rolled-up profiles of the snapshot day; with `store`, from its daily states, after adding the days it lacks."""
+    if store is not None:
+        update_store(spark, directory, store, run.profile_day)
+        daily = profile_from_store(spark, directory, store, run.profile_day)
+    else:
+        daily = behaviour_profile(spark, directory, [run.profile_day])
+    profile = profile_snapshot(daily, run.profile_day)
     if run.entity is not None:
         profile = profile.filter(in_entity(run.entity))
     return profile_rollup(map_profiles(profile, id_map(spark, directory)))

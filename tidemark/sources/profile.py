@@ -1,4 +1,4 @@
-"""Event stream table -> daily behaviour profile, id map and visit record."""
+"""Event stream table -> daily states, behaviour profile, id map and visit record."""
 
 from __future__ import annotations
 
@@ -46,33 +46,65 @@ def _count_if(condition: Column) -> Column:
     return F.sum(condition.cast("bigint"))
 
 
+KINDS = ("view", "click", "purchase", "error")
+
+
+def _event_states(stream: DataFrame) -> DataFrame:
+    """Every event as a state of its day and value that counts one event."""
+    purchase = F.col("event_type") == "purchase"
+    return stream.select(
+        "external_id",
+        "event_date",
+        "k",
+        F.col("ts").alias("last_ts"),
+        F.when(purchase, F.col("ts")).alias("first_purchase"),
+        F.lit(1).cast("bigint").alias("n"),
+        F.col("value_cents").alias("cents"),
+        *[(F.col("event_type") == name).cast("bigint").alias(name) for name in KINDS],
+    )
+
+
+def daily_states(stream: DataFrame) -> DataFrame:
+    """One row per (external id, day, value): what the profile needs of them, and what can be merged further."""
+    return _event_states(stream).groupBy("external_id", "event_date", "k").agg(
+        F.max("last_ts").alias("last_ts"), F.min("first_purchase").alias("first_purchase"), *[F.sum(c).alias(c) for c in ("n", "cents", *KINDS)]
+    )
+
+
 def behaviour_profile(spark: SparkSession, directory: str, days: Sequence[dt.date]) -> DataFrame:
     """One row per (entity, external id, calculation date), with 4 and 12 week attributes."""
     stream = events_between(spark, directory, min(days) - dt.timedelta(days=83), max(days))
+    return profile_of_states(spark, directory, _event_states(stream), days)
+
+
+def profile_of_states(spark: SparkSession, directory: str, states: DataFrame, days: Sequence[dt.date]) -> DataFrame:
+    """The profile from single events or from stored days: both are states, merged the same way."""
     if len(days) == 1:
-        dated = stream.withColumn("calculation_date", F.lit(days[0]))
+        dated = states.withColumn("calculation_date", F.lit(days[0]))
     else:
-        dated = stream.withColumn("calculation_date", F.explode(F.array(*[F.lit(d) for d in days])))
+        dated = states.withColumn("calculation_date", F.explode(F.array(*[F.lit(d) for d in days])))
     age = F.datediff("calculation_date", "event_date")
     recent = (age >= 0) & (age < 28)
-    kind = {name: recent & (F.col("event_type") == name) for name in ("view", "click", "purchase", "error")}
+    kind = {name: recent.cast("bigint") * F.col(name) for name in KINDS}
     k = F.col("k")
     stars = k % 5 + 1
+    bought = recent & (F.col("purchase") > 0)
     # Distinct values become groups, distinct days become bits: no event is copied for a distinct count, and a user
     # with very many events collapses before the first shuffle.
     per_value = {
-        "timestamp": (F.max("ts"), F.max),
-        "first_purchase": (F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))), F.min),
+        "timestamp": (F.max("last_ts"), F.max),
+        "first_purchase": (F.min("first_purchase"), F.min),
         "days_near": (F.bit_or(F.when(age < 42, F.expr("shiftleft(1L, datediff(calculation_date, event_date))"))), F.bit_or),
         "days_far": (F.bit_or(F.when(age >= 42, F.expr("shiftleft(1L, datediff(calculation_date, event_date) - 42)"))), F.bit_or),
-        "n_recent": (_count_if(recent), F.sum),
-        "k_recent": (F.sum(F.when(recent, k)), F.sum),
-        "cents": (F.sum(F.when(recent, F.col("value_cents"))), F.sum),
-        **{name: (_count_if(condition), F.sum) for name, condition in kind.items()},
-        "online": (_count_if(kind["purchase"] & (k % 2 == 0)), F.sum),
-        "purchase_stars": (F.sum(F.when(kind["purchase"], stars)), F.sum),
-        "click_stars": (F.sum(F.when(kind["click"], stars)), F.sum),
-        "survey": (F.max(F.when(kind["purchase"], k % 11)), F.max),
+        "n_recent": (F.sum(recent.cast("bigint") * F.col("n")), F.sum),
+        "k_recent": (F.sum(F.when(recent, k * F.col("n"))), F.sum),
+        "cents": (F.sum(F.when(recent, F.col("cents"))), F.sum),
+        **{name: (F.sum(n), F.sum) for name, n in kind.items()},
+        # purchases without a value are neither paid online nor not
+        "online": (F.sum(F.when(bought & k.isNull(), F.when(F.col("n") > F.col("purchase"), 0)).when(k % 2 == 0, kind["purchase"]).otherwise(0)), F.sum),
+        "purchase_stars": (F.sum(F.when(bought, stars * F.col("purchase"))), F.sum),
+        "click_stars": (F.sum(F.when(recent & (F.col("click") > 0), stars * F.col("click"))), F.sum),
+        "survey": (F.max(F.when(bought, k % 11)), F.max),
     }
     again = [combine(name).alias(name) for name, (_, combine) in per_value.items()]
     user = ("external_id", "calculation_date")
