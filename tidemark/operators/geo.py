@@ -1,12 +1,11 @@
 """Geographic features: neighbours within a radius, clusters, population lookup.
 
 Neighbour counting never emits point pairs. Points are collapsed to distinct coordinates and put in grid
-cells. `neighbour_counts` lets cells ask cells, level by level, for all radii at once. Where the links of
-single points are asked for (`_hits_per_cell`), each query point asks only the cells its circle touches:
+cells, and cells ask cells, level by level:
 
-* a cell wholly inside the circle answers with its total,
-* a small cell (at most LEAF coordinates) carries its coordinates along and is tested in place,
-* a crowded cell on the rim is split further, level by level, until one of the two applies.
+* a cell wholly within the radius answers with its total (or is linked as it is),
+* two small cells (at most CELL_LEAF coordinates) meet as lists and are compared in place,
+* a pair with a crowded cell is split further, as cells of half the size, until one of the two applies.
 
 So a crowded place costs work along the circle's rim, not the square of its population, and counts are exact.
 """
@@ -29,109 +28,10 @@ from tidemark.operators.lookup import skew_safe_lookup
 from tidemark.operators.sampling import hash_sample
 from tidemark.session import durable
 
-LEAF = 256
 CELL_LEAF = 128  # coordinates of a cell that meets others as a list
-SPLIT = 4  # a crowded cell becomes SPLIT x SPLIT cells
 _MARGIN = 1e-9  # relative slack: anything this close to the rim is tested point by point
 
 
-def _grid_index(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(size))
-
-
-def _child_index(value: Column, parent: Column, size: float) -> Column:
-    """Index one level down, always below its parent whatever the rounding."""
-    inner = F.floor((value - parent * F.lit(size)) / F.lit(size / SPLIT))
-    return parent * SPLIT + F.greatest(F.least(inner, F.lit(SPLIT - 1)), F.lit(0))
-
-
-def _axis_gap(q: Column, cell: Column, size: float) -> tuple[Column, Column]:
-    low, high = cell * F.lit(size), (cell + 1) * F.lit(size)
-    nearest = F.greatest(low - q, q - high, F.lit(0.0))
-    farthest = F.greatest(F.abs(q - low), F.abs(q - high))
-    return nearest, farthest
-
-
-def _cell_table(points: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Cells of one level, the points of its crowded cells, and whether there are any."""
-    sizes = durable(
-        points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("n"))
-    )
-    crowded_exist = not sizes.filter(F.col("m") > leaf).isEmpty()
-    if not crowded_exist:
-        cells = points.groupBy("cx", "cy").agg(
-            F.sum("w").alias("n"), F.collect_list(F.struct("x", "y", "w")).alias("pts")
-        )
-        return cells, points, False
-    dim = sizes.select("cx", "cy", "m", F.col("m").alias("cell_m"))
-    marked = skew_safe_lookup(points, dim, ["cx", "cy"], "m")
-    small = (
-        marked.filter(F.col("cell_m") <= leaf)
-        .groupBy("cx", "cy")
-        .agg(F.sum("w").alias("n"), F.collect_list(F.struct("x", "y", "w")).alias("pts"))
-    )
-    crowded = sizes.filter(F.col("m") > leaf).select("cx", "cy", "n")
-    cells = small.unionByName(crowded, allowMissingColumns=True)
-    return cells, marked.filter(F.col("cell_m") > leaf).drop("cell_m"), True
-
-
-def _hits_per_cell(points: DataFrame, asked: DataFrame, keep: Sequence[str], radius: float, size: float,
-                   leaf: int) -> DataFrame:
-    """(keep..., hits) rows for `asked` = (keep..., x, y, cx, cy): coordinates of `points` within `radius`.
-
-    `points` = (x, y, w, cx, cy) with unique coordinates. A key may get several rows; callers add them up.
-    """
-    r2 = radius * radius
-    answers: DataFrame | None = None
-    while True:
-        cells, crowded_points, go_deeper = _cell_table(points, leaf)
-        load = asked.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("asked"))
-        dim = durable(cells.join(load, ["cx", "cy"]).select("*", F.lit(True).alias("known")))
-        found = skew_safe_lookup(asked, dim, ["cx", "cy"], "asked").filter("known")
-        near_x, far_x = _axis_gap(F.col("x"), F.col("cx"), size)
-        near_y, far_y = _axis_gap(F.col("y"), F.col("cy"), size)
-        inside = far_x * far_x + far_y * far_y <= F.lit(r2 * (1 - _MARGIN))
-        outside = near_x * near_x + near_y * near_y > F.lit(r2 * (1 + _MARGIN))
-        tested = F.expr(
-            f"aggregate(pts, 0L, (t, p) -> t + IF((p.x - x) * (p.x - x) + (p.y - y) * (p.y - y) <= {r2!r}D, p.w, 0L))"
-        )
-        on_rim = ~inside & ~outside
-        answered = found.filter(inside | (on_rim & F.col("pts").isNotNull())).select(
-            *keep, F.when(inside, F.col("n")).otherwise(tested).alias("hits")
-        )
-        answers = answered if answers is None else answers.unionByName(answered)
-        if not go_deeper:
-            return answers
-        below = found.filter(on_rim & F.col("pts").isNull())
-        children = F.sequence(F.lit(0), F.lit(SPLIT - 1))
-        asked = durable(
-            below.select("*", F.explode(children).alias("i"))
-            .select("*", F.explode(children).alias("j"))
-            .select(
-                *keep,
-                *[c for c in ("x", "y") if c not in keep],
-                (F.col("cx") * SPLIT + F.col("i")).alias("cx"),
-                (F.col("cy") * SPLIT + F.col("j")).alias("cy"),
-            )
-        )
-        points = durable(
-            crowded_points.select(
-                "x",
-                "y",
-                "w",
-                _child_index(F.col("x"), F.col("cx"), size).alias("cx"),
-                _child_index(F.col("y"), F.col("cy"), size).alias("cy"),
-            )
-        )
-        size = size / SPLIT
-
-
-def _touched(value: Column, radius: float, size: float) -> Column:
-    """Cells an interval of +-radius touches on one axis (the tiny extra only adds an empty question)."""
-    reach = radius * (1 + 1e-7)
-    return F.explode(F.sequence(_grid_index(value - reach, size), _grid_index(value + reach, size)))
-
-
 def _coordinates(df: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct coordinates with their number of rows; an address shared by many rows is one point."""
     there = F.col(x).isNotNull() & F.col(y).isNotNull()
@@ -144,7 +44,7 @@ def _coordinates(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _in_grid(points: DataFrame, size: float) -> DataFrame:
     return points.select(
-        "x", "y", "w", _grid_index(F.col("x"), size).alias("cx"), _grid_index(F.col("y"), size).alias("cy")
+        "x", "y", "w", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")
     )
 
 
@@ -218,7 +118,7 @@ def neighbour_counts(points: DataFrame, radii: Sequence[float], leaf: int = CELL
     """
     sizes = [_base_size(r) for r in radii]
     offsets = [(i, *o) for i, (r, s) in enumerate(zip(radii, sizes, strict=True)) for o in _offsets(r, s)]
-    around = points.sparkSession.createDataFrame(offsets, "ri int, dx bigint, dy bigint, inside boolean")  # nine for each radius
+    around = points.sparkSession.createDataFrame(offsets, "ri int, dx bigint, dy bigint, inside boolean")  # nine for each radius, met by ri
     answers, asked = [], None
     while True:
         placed = _cells(points, sizes)
@@ -280,6 +180,84 @@ def radius_density(df: DataFrame, radii: Sequence[float], x: str = "cust_lat", y
     return skew_safe_lookup(df, durable(dim), [x, y], "w")
 
 
+_PAIR = ("ax", "ay", "bx", "by")
+
+
+def _any_within(radius: float):
+    """Of pairs of cells with the points of both: those that hold points within the radius of each other."""
+    square = radius * radius
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in batch.columns[4:]:
+                flat = column.flatten()
+                sides.append((np.r_[0, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())], flat.field(0).to_numpy(), flat.field(1).to_numpy()))
+            (qe, qx, qy), (pe, px, py) = sides
+            hit = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                q, p = slice(qe[i], qe[i + 1]), slice(pe[i], pe[i + 1])
+                dx, dy = px[p] - qx[q, None], py[p] - qy[q, None]
+                hit[i] = (dx * dx + dy * dy <= square).any()
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], list(_PAIR)).filter(pa.array(hit))
+
+    return run
+
+
+def _linked_cells(points: DataFrame, radius: float, size: float, leaf: int) -> DataFrame:
+    """(ax, ay, bx, by), may repeat: pairs of different cells that hold points within `radius` of each other, each one way.
+
+    `points` = (x, y), stored, unique. Cells meet the cells around them as in `neighbour_counts`: pairs that lie wholly
+    within the radius are linked as they are, short lists are compared, and pairs with a crowded cell go on as cells of
+    half the size, unless they are linked already.
+    """
+    found, asked = [], None
+    ahead = [(dx, dy, inside) for dx, dy, inside in _offsets(radius, size) if (dx, dy) > (0, 0)]
+    steps = ", ".join(f"named_struct('dx', {dx}L, 'dy', {dy}L, 'inside', {str(inside).lower()})" for dx, dy, inside in ahead)
+    while True:
+        placed = points.select("x", "y", *[F.floor(F.col(c) / size).alias(f"c{c}") for c in "xy"])
+        counted = durable(placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("m")))
+        crowded = not counted.filter(F.col("m") > leaf).isEmpty()
+        if crowded:
+            dim = durable(counted.filter(F.col("m") > leaf).select("cx", "cy", "m", F.lit(True).alias("crowded")))
+            placed = skew_safe_lookup(placed, dim, ["cx", "cy"], "m").filter("crowded IS NULL")
+        lists = placed.groupBy("cx", "cy").agg(F.collect_list(F.struct("x", "y")).alias("pts"))
+        cells = durable(counted.join(lists, ["cx", "cy"], "left"))
+        own, others = (cells.select(F.col("cx").alias(f"{s}x"), F.col("cy").alias(f"{s}y"), F.col("m").alias(f"{s}m"), F.col("pts").alias(f"{s}pts")) for s in "qp")
+        if asked is None:
+            # A few dozen steps fan out; the points of the asking cell join in when its pairs are known to exist.
+            fanned = counted.select("cx", "cy", F.explode(F.expr(f"array({steps})")).alias("to"))
+            there = [F.col(f"c{c}") + F.col(f"to.d{c}") for c in "xy"]
+            asked = fanned.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), there[0].alias("bx"), there[1].alias("by"),
+                                  F.col("cx").alias("qx"), F.col("cy").alias("qy"), there[0].alias("px"), there[1].alias("py"), "to.inside")
+        met = asked.join(others, ["px", "py"]).join(own, ["qx", "qy"])
+        if crowded:
+            met = durable(met)
+        small = (F.col("qm") <= leaf) & (F.col("pm") <= leaf)
+        whole = met.filter("inside").select(*_PAIR)
+        tested = met.filter(~F.col("inside") & small).select(*_PAIR, "qpts", "ppts").mapInArrow(_any_within(radius), ", ".join(f"{c} bigint" for c in _PAIR))
+        now = whole.unionByName(tested)
+        if not crowded:
+            found.append(now)
+            return reduce(DataFrame.unionByName, found)
+        now = durable(now.distinct())
+        found.append(now)
+        size /= 2
+        asked = met.filter(~F.col("inside") & ~small).select(*_PAIR, "qx", "qy", "px", "py").join(now, list(_PAIR), "left_anti")
+        asked = _halves(asked, radius, size)
+
+
+def _halves(asked: DataFrame, radius: float, size: float) -> DataFrame:
+    """Pairs of cells (qx, qy), (px, py) as all pairs of their halves of `size` that can hold points within the radius."""
+    for c in ("qx", "qy", "px", "py"):
+        asked = asked.select(*[o for o in asked.columns if o != c], F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c))
+    gap = [F.abs(F.col(f"p{a}") - F.col(f"q{a}")) for a in "xy"]
+    near = sum(F.greatest(g - 1, F.lit(0)) * F.greatest(g - 1, F.lit(0)) for g in gap)
+    far = sum((g + 1) * (g + 1) for g in gap)
+    square = radius * radius / (size * size)
+    return durable(asked.filter(near <= square * (1 + _MARGIN)).withColumn("inside", far <= square * (1 - _MARGIN)))
+
+
 def _cell_id(cx: Column, cy: Column) -> Column:
     """Both indices in one long; fails loudly when the grid is too fine for 31 bits."""
     half = 2**31
@@ -289,7 +267,7 @@ def _cell_id(cx: Column, cy: Column) -> Column:
 
 
 def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int,
-                     min_cluster_size: int | Sequence[int], x: str = "cust_lat", y: str = "cust_long", leaf: int = LEAF) -> DataFrame:
+                     min_cluster_size: int | Sequence[int], x: str = "cust_lat", y: str = "cust_long", leaf: int = CELL_LEAF) -> DataFrame:
     """Fixed-radius density clusters.
 
     Core rows have at least `min_samples` rows within `radius` (themselves included); core rows within
@@ -299,24 +277,15 @@ def density_clusters(df: DataFrame, key: str, radius: float, min_samples: int,
     components are found once, only the last filter differs.
 
     Cells are small enough that all core rows of a cell belong together, so the graph is one of cells with at
-    most two dozen neighbours each, never one of rows.
+    most a few dozen neighbours each, never one of rows.
     """
     points = durable(_coordinates(df, x, y))
-    density = durable(points.join(coordinate_density(points, radius, min(leaf, CELL_LEAF)), ["x", "y"]))
-    size = radius / 2**0.5 * (1 - 1e-9)
+    density = durable(points.join(coordinate_density(points, radius, leaf), ["x", "y"]))
+    size = 2.0 ** math.floor(math.log2(radius / 2**0.5))  # all points of a cell are within the radius of each other
     core = durable(_in_grid(density.filter(F.col("hits") >= min_samples), size))
-    own = [F.col("cx").alias("ax"), F.col("cy").alias("ay")]
-    asked = (
-        core.select("x", "y", *own)
-        .select("x", "y", "ax", "ay", _touched(F.col("x"), radius, size).alias("cx"))
-        .select("x", "y", "ax", "ay", "cx", _touched(F.col("y"), radius, size).alias("cy"))
-        .filter((F.col("cx") > F.col("ax")) | ((F.col("cx") == F.col("ax")) & (F.col("cy") > F.col("ay"))))
-        .select("*", F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    )
-    hits = _hits_per_cell(core, asked, ["ax", "ay", "bx", "by", "x", "y"], radius, size, leaf)
-    linked = hits.filter(F.col("hits") > 0).select(
+    linked = durable(_linked_cells(core, radius, size, leaf).select(
         _cell_id(F.col("ax"), F.col("ay")).alias("a"), _cell_id(F.col("bx"), F.col("by")).alias("b")
-    ).distinct()
+    ).distinct())
     edges = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cells = core.groupBy(_cell_id(F.col("cx"), F.col("cy")).alias("id")).agg(F.count(F.lit(1)).alias("m"))
     component = connected_components(cells.select("id"), edges)
