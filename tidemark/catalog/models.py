@@ -110,6 +110,22 @@ def _(spark, sf):
     return scored.select(ID, targets.ORGANIC, "role", "fold", _share("preds_oof_acquisition_qc_organic_0_1_gbt").alias("scored"))
 
 
+@query(
+    "oof_selected",
+    f"""{_FRAME} SELECT {ID}, {targets.ORGANIC}, CASE WHEN {targets.ORGANIC} IS NULL THEN 'predict' ELSE 'train' END AS role,
+      {_FOLD}, coalesce({targets.ORGANIC} >= 0, true) AS scored FROM frame""",
+)
+def _(spark, sf):
+    from tidemark.plans.selection import selected_out_of_fold
+
+    df = frame(spark, sf)
+    scored, _kept, _importance = selected_out_of_fold(
+        df, [ID], targets.ORGANIC, inputs(df), PARAMS, population=cohorts.organic_population(F.col(targets.ORGANIC)),
+        suffix="selected",
+    )
+    return scored.select(ID, targets.ORGANIC, "role", "fold", _share("preds_oof_selected").alias("scored"))
+
+
 @query(
     "oof_logreg",
     f"{_FRAME} SELECT {ID}, {PLANTED}, 'train' AS role, {_FOLD}, {PLANTED} IS NOT NULL AS scored FROM frame",
