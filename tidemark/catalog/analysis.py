@@ -391,6 +391,7 @@ def _(spark, sf):
     return metrics.regression_metrics(_valued(spark, sf), "y", "p", ["global_entity_id"])
 
 
+# The area under the curve is one half for any constant score, whatever the rows.
 @query(
     "baseline_metrics",
     f"""WITH {SCORED}, b AS (SELECT *, avg({Y}) OVER () AS p FROM scored)

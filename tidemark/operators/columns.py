@@ -32,7 +32,7 @@ def select_features(df: DataFrame, dtype: str | None = "number", contains: Itera
 
 
 def name_prefixes(names: Iterable[str], markers: Sequence[str] = ("past", "nv_", "rs_")) -> list[str]:
-    """Distinct name beginnings, cut at the first of the markers."""
+    """Distinct name beginnings, cut at the first of the markers (the default ones are fixed values)."""
     out = set()
     for name in names:
         for marker in markers:

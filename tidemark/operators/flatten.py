@@ -24,7 +24,7 @@ KEYS = ("global_entity_id", "analytical_customer_id")
 
 WINDOWS = {"lifetime": "lifetime", "l04w": "last4w", "l16w": "last16w"}
 
-# Output measure name -> field of the order window record.
+# Output measure name -> field of the order window record (fixed values).
 WINDOW_MEASURES = {
     "order_count": "order_count",
     "order_count_late": "late_orders",

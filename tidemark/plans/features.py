@@ -16,7 +16,7 @@ from tidemark.sources.profile import behaviour_profile, id_map
 from tidemark.sources.profile_store import profile_from_store, update_store
 from tidemark.sources.snapshot import customer_snapshot
 
-# Roll-up column -> field of the behaviour profile; each takes the largest value over a customer's profiles.
+# Roll-up column -> field of the behaviour profile; each takes the largest value over a customer's profiles (fixed values).
 ROLLUP_MAX = {
     "order_rate_online_payment_l04w": "order_attributes.online_payment_order_rate_last_4_weeks",
     "visit_vendors_viewed_l04w": "visit_attributes.unique_vendors_viewed_last_4_weeks",

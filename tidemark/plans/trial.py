@@ -13,7 +13,8 @@ from tidemark.sources.orders import RESTAURANTS, order_facts
 from tidemark.sources.profile import visit_record
 from tidemark.sources.snapshot import customer_snapshot, in_window, order_rank
 
-# Output measure -> window record field; published for lifetime and the last 16 weeks.
+# Output names -> fields of the record, here and in the three lists below (fixed values). Window measures are published
+# for lifetime and the last 16 weeks.
 TRIAL_MEASURES = {
     "order_count_all": "order_count",
     "order_count_late": "late_orders",
