@@ -51,3 +51,13 @@ def test_odd_rows(spark):
     net = quality.fit(docs, labels, F.lit(True))
     assert quality.score(docs, net, keep=[F.col("doc_id")]).count() == 4
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0), F.lit(True)), keep=[F.col("doc_id")]).count() == 0
+
+
+def test_very_long_labelled_texts_do_not_crowd_out_others(spark, monkeypatch):
+    length = F.when(F.col("id") % 3 == 0, 11 << 20).when(F.col("id") % 3 == 1, 9 << 20).otherwise(40)
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), length.cast("int")).alias("text"))
+    labels = spark.range(12).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    learned = []
+    monkeypatch.setattr(quality, "train", lambda texts, values: learned.extend(zip(map(len, texts), values, strict=True)))
+    quality.fit(docs, labels, F.lit(True))
+    assert sorted(n for n, _ in learned) == [40] * 4 + [9 << 20] and {v for n, v in learned if n == 40} == {0, 1}

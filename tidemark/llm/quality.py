@@ -6,8 +6,9 @@ share of its bytes that equal the byte some fixed distance before, over all dist
 its maximum over all chunks of the text; these maxima are combined into one probability. Every byte of every text is
 scored; texts lie one after another in one buffer, so long and short ones cost the same for each byte.
 
-Training takes labelled rows in the order of the hash of their id, up to FIT_ROWS rows and FIT_BYTES bytes. These are
-the only bounds, and they do not touch scoring.
+Training draws FIT_ROWS labelled rows by the hash of their id and learns from whole texts up to FIT_BYTES bytes in all: in
+the order of the draw, very long texts last, passing over a text that does not fit. These are the only bounds, and they
+do not touch scoring.
 
 Cases: null and empty texts are scored as one chunk of zeros. Without labels every score is 0.5, with labels of one
 kind every score is that label. Repeated rows and null ids give a row each (null ids never learn); an empty table gives
@@ -28,6 +29,7 @@ from tidemark.llm.common import col, slices
 
 FIT_ROWS = 3000
 FIT_BYTES = 10 << 20
+FIT_SHARE = 64  # texts over FIT_BYTES / FIT_SHARE come after all others
 BLOCK, WIDTH, FILTERS, LAGS = 16, 6, 24, 32
 GAP = LAGS // BLOCK  # blocks of zeros between texts, so that no byte looks back into the text before
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 0.01, 1e-4
@@ -147,16 +149,18 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, doc_id: str = "doc_i
     draw = F.xxhash64(col(doc_id).cast("string"), F.lit("quality"))
     marked = labels.filter(learns).select(col(doc_id).alias("__id"), col(label).cast("double").alias("__label"), draw.alias("__draw"))
     chosen = marked.filter("__label IN (0, 1) AND __id IS NOT NULL").orderBy("__draw", "__id", "__label").limit(FIT_ROWS)
-    rows = docs.select(col(doc_id).alias("__id"), col(text).cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = docs.select(col(doc_id).alias("__id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
+    bytes_ = F.octet_length("__text")
+    rows = rows.filter(bytes_ <= FIT_BYTES).withColumn("__long", bytes_ > FIT_BYTES // FIT_SHARE)
     texts: list[str] = []
     values: list[float] = []
     held = 0
-    for row in rows.orderBy("__draw", "__id", "__label").toLocalIterator():
-        held += len((row["__text"] or "").encode())
-        if held > FIT_BYTES and texts:
-            break
-        texts.append(row["__text"] or "")
-        values.append(row["__label"])
+    for row in rows.orderBy("__long", "__draw", "__id", "__label").toLocalIterator():
+        size = len(row["__text"].encode())
+        if held + size <= FIT_BYTES:  # one that does not fit is passed over
+            held += size
+            texts.append(row["__text"])
+            values.append(row["__label"])
     return train(texts, np.array(values))
 
 
