@@ -51,6 +51,26 @@ def test_documents(spark, sf):
         assert len({r.source for r in members}) == len({r.text for r in members}) == len(members)
 
 
+def test_rows_with_one_id_or_none_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 100)
+    for id_ in (None, 5):
+        docs = spark.range(3000).select(F.lit(id_).cast("bigint").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
+        sizes = [r["count"] for r in packing.best_fit(docs).groupBy("shard").count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 200
+
+
+def test_shards_cost_few_bins(spark, sf):
+    docs = table(spark, sf.replace("0.001", "0.1"), "documents")
+    got = packing.best_fit(docs)
+    bins = got.select("shard", "bin").distinct().count()
+    rows = docs.select(F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), "doc_id", "source", F.xxhash64("text").alias("c")).collect()
+    rows.sort(key=lambda r: (-(r.n + 1 - r.n // packing.CAPACITY * packing.CAPACITY), r.doc_id))
+    left = [r.n + 1 - r.n // packing.CAPACITY * packing.CAPACITY for r in rows]
+    numbers, _ = packing.pack(left, packing.bitmaps([r.source for r in rows], [r.c for r in rows]), packing.CAPACITY)
+    one_shard = max(numbers) + 1 + sum(r.n // packing.CAPACITY for r in rows)
+    assert bins <= 1.002 * one_shard
+
+
 def test_hot_source_and_odd_rows(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("source"))
     rows = packing.best_fit(docs, capacity=300)

@@ -5,8 +5,8 @@ and fill bins of their own; what is left over, or a whole shorter document, is a
 the bin with the least room that still holds them and conflicts with none of its items: two items conflict when they
 are of one source or copies of one text. Without such a bin a new one is opened.
 
-Items are dealt into shards of about SHARD_ITEMS by the hash of their id, so a hot source or a large group of copies
-spreads evenly, and each shard is packed in one task. A shard keeps its bins in a tree over their room. Each bin
+Items are dealt into shards of about SHARD_ITEMS by the hash of their id and their place among the stored items, so a hot
+source, a large group of copies or many rows with one id or none spread evenly, and each shard is packed in one task. A shard keeps its bins in a tree over their room. Each bin
 carries bitmaps of its sources and its clusters; each node of the tree carries what all bins below have in common, so
 the search for the next bin in order passes over whole subtrees that conflict, until the tightest compatible bin.
 
@@ -29,7 +29,7 @@ from tidemark.llm.common import col
 from tidemark.session import durable
 
 CAPACITY = 8192
-SHARD_ITEMS = 2048
+SHARD_ITEMS = 8192
 
 
 class Bins:
@@ -120,9 +120,9 @@ def best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """
     content = F.coalesce(col(text).cast("string"), F.lit(""))
     rows = docs.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), (F.octet_length(content) + 1).alias("size"), F.xxhash64(content).alias("cluster"))
-    rows = durable(rows)
+    rows = durable(rows.withColumn("place", F.monotonically_increasing_id()))  # stored: a repeated task deals alike
     shards = max(1, -(-rows.count() // SHARD_ITEMS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.lit("shard")), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "place", F.lit("shard")), F.lit(shards)).cast("int")).drop("place")
 
     def run(table: pa.Table) -> pa.Table:
         size = table.column("size").to_numpy().astype(np.int64)
