@@ -57,6 +57,7 @@ class Vocabulary:
         self.bytes: list[bytes] = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
         for token, i in [*ids.items(), *self.added.items()]:
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([ids[a] << 32 | ids[b] for a, b in pairs], np.uint64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
@@ -151,10 +152,10 @@ class Vocabulary:
         ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def encode_words(self, words: list[str], known: dict[str, bytes]) -> list[bytes]:
-        """The ids of each word; `known` remembers."""
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        known.update(zip(new, self.merge([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
+    def encode_words(self, words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
+        """The ids of each of these different words; `known` remembers."""
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self.merge(new), strict=True))
         out = [known[w] for w in words]
         forget(known)
         return out
@@ -168,20 +169,23 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def forget(known: dict[str, bytes]) -> None:
+def forget(known: dict[bytes, bytes]) -> None:
     if len(known) > REMEMBERED:
         for word in list(itertools.islice(known, len(known) // 2)):
             del known[word]
 
 
 @functools.cache
-def remembered(use: str) -> dict[str, bytes]:
+def remembered(use: str) -> dict[bytes, bytes]:
     """Words encoded by this Python worker so far, over all its tasks."""
     return {}
 
 
-def encode_texts(vocab: Vocabulary, texts: list[str | None], encode_words: Callable[[list[str], dict[str, bytes]], list[bytes]], known: dict[str, bytes]) -> list[bytes]:
-    """The ids of whole texts as little-endian 32-bit integers, added tokens included."""
+def encode_texts(vocab: Vocabulary, texts: list[str | None], encode_words: Callable[[list[bytes], dict[bytes, bytes]], list[bytes]], known: dict[bytes, bytes]) -> list[bytes]:
+    """The ids of whole texts as little-endian 32-bit integers, added tokens included.
+
+    `encode_words` is asked once for each different word of these texts.
+    """
     pieces: list[str] = []
     layout: list[list[int]] = []  # of each text: piece numbers, or -1 - id for an added token
     for text in texts:
@@ -195,9 +199,12 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None], encode_words: Calla
                 pieces.append(piece)
         layout.append(row)
     words, counts = pretokens(pieces)
-    coded = encode_words(words, known)
-    ends = np.cumsum(counts).tolist()
-    joined = [b"".join(coded[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    different = words.dictionary_encode()
+    coded = pa.array(encode_words(different.dictionary.to_pylist(), known), pa.large_binary()).take(different.indices)
+    _, offsets, data = coded.buffers()  # the ids of all words, one after another
+    ends = np.frombuffer(offsets, np.int64, len(coded) + 1)[np.r_[0, np.cumsum(counts)]].tolist() if len(coded) else [0] * (len(pieces) + 1)
+    flat = memoryview(data or b"")
+    joined = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
     return [b"".join(joined[k] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in row) for row in layout]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import pre_tokenizers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -33,7 +34,9 @@ def kinds(codes: np.ndarray) -> np.ndarray:
 
     A code point is of the kind of the sign that it joins in one pre-token. Blocks of code points are asked for once.
     """
-    for block in np.flatnonzero(np.bincount(codes // BLOCK) > 0).tolist():
+    seen = np.zeros(len(KNOWN), bool)
+    seen[codes // np.uint32(BLOCK)] = True
+    for block in np.flatnonzero(seen).tolist():
         if not KNOWN[block]:
             points = [c for c in range(block * BLOCK, (block + 1) * BLOCK) if not 0xD800 <= c < 0xE000 and c != QUOTE]
             for kind, sign in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
@@ -46,13 +49,13 @@ def kinds(codes: np.ndarray) -> np.ndarray:
     return KINDS[codes]
 
 
-def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """All pre-tokens in order, and how many each text has."""
+def pretokens(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The UTF-8 bytes of all pre-tokens in order, and how many each text has."""
     joined = "".join(texts)
     n = len(joined)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     if not n:
-        return [], np.zeros(len(texts), np.int64)
+        return pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds(codes)
     first = np.zeros(n + 1, bool)
@@ -78,5 +81,9 @@ def pretokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
             starts_at[p + size] = True
     starts = np.flatnonzero(starts_at)
     counts = np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(lengths)]))
-    edges = np.r_[starts, n].tolist()
-    return [joined[a:b] for a, b in zip(edges, edges[1:], strict=False)], counts
+    data = joined.encode("utf-8", "surrogatepass")
+    edges = np.r_[starts, n]
+    if len(data) > n:  # from code points to bytes
+        leads = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)  # all bytes but those that continue a code point
+        edges = np.r_[leads[starts], len(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]), counts

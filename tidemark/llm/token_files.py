@@ -16,6 +16,7 @@ order. A null doc_id comes first. An empty table gives empty files and no rows;
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from tidemark.llm.common import col, slices
 from tidemark.session import scratch_path
 
 END_ID = 0
-SLICE = 2 << 20
+SLICE = 2 << 20  # bytes of ids coded at a time
+TEXTS = 8 << 20  # bytes of text encoded at a time: a word that recurs in them is looked up once
 TOGETHER = 2000  # words that the library encodes in one text
 #: Lengths of the four codes of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -42,28 +44,33 @@ def library(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-def encode_new(path: str, words: list[str], known: dict[str, bytes]) -> None:
+def encode_new(path: str, words: list[bytes], known: dict[bytes, bytes]) -> None:
     """Let the library encode words.
 
     Words that begin with a blank and a sign are written in one text: the library cuts it into just these words.
     """
-    blank_first = [w for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-    for at in range(0, len(blank_first), TOGETHER):
-        part = blank_first[at : at + TOGETHER]
-        coded = library(path).encode("".join(part), add_special_tokens=False)
-        sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part))
-        if len(sizes) != len(part):
+    texts = [w.decode("utf-8", "surrogatepass") for w in words]
+    together = [len(t) > 1 and t[0] == " " and not t[1].isspace() for t in texts]
+    joint = list(itertools.compress(range(len(words)), together))
+    parts = [joint[at : at + TOGETHER] for at in range(0, len(joint), TOGETHER)]
+    token_bytes = vocabulary(path).sizes
+    for part, coded in zip(parts, library(path).encode_batch_fast(["".join([texts[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
+        ids = np.array(coded.ids, "<u4")
+        reached = np.cumsum(token_bytes[ids])
+        wanted = np.cumsum([len(words[i]) for i in part])
+        ends = np.searchsorted(reached, wanted)
+        if not np.array_equal(reached[np.minimum(ends, len(ids) - 1)], wanted):
             raise ValueError("the library cuts pre-tokens in another way")
-        ids, ends = np.array(coded.ids, "<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-        known.update(zip(part, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-    others = [w for w in words if w not in known]
-    for word, coded in zip(others, library(path).encode_batch_fast(others, add_special_tokens=False), strict=True):
-        known[word] = np.array(coded.ids, "<u4").tobytes()
+        data, ends = ids.tobytes(), (4 * (ends + 1)).tolist()
+        known.update(zip([words[i] for i in part], (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+    others = [i for i, joins in enumerate(together) if not joins]
+    for i, coded in zip(others, library(path).encode_batch_fast([texts[i] for i in others], add_special_tokens=False), strict=True):
+        known[words[i]] = np.array(coded.ids, "<u4").tobytes()
 
 
-def encode_words(path: str, words: list[str], known: dict[str, bytes]) -> list[bytes]:
-    """The ids of each word by the library; `known` remembers."""
-    encode_new(path, [w for w in dict.fromkeys(words) if w not in known], known)
+def encode_words(path: str, words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
+    """The ids of each of these different words by the library; `known` remembers."""
+    encode_new(path, [w for w in words if w not in known], known)
     out = [known[w] for w in words]
     forget(known)
     return out
@@ -98,7 +105,7 @@ def write(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, known = vocabulary(path), remembered(f"library {path}")
         counts, ids_of = np.zeros(vocabulary_size, np.int64), None
-        for batch in slices(batches, 1, SLICE):
+        for batch in slices(batches, 1, TEXTS):
             ids = [np.frombuffer(i + end, "<u4") for i in encode_texts(vocab, batch.column(1).to_pylist(), functools.partial(encode_words, path), known)]
             counts += np.bincount(np.concatenate(ids), minlength=vocabulary_size)
             ids_of = batch.schema.field(0).type
