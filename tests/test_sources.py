@@ -72,6 +72,21 @@ def test_dedup_has_a_total_order(spark):
         assert got == {("e", 1, 2, 7), ("e", 2, 1, 1)}
 
 
+def test_stage_features_take_the_latest_copy_and_read_only_their_fields(spark, sf):
+    path = scratch_path(spark, "snapshot-copies")
+    now = customer_snapshot(spark, sf, TEST_RUN.as_of)
+    last = "restaurants.last_order.order_date"
+    stale = now.withColumn("orders", F.col("orders").withField(last, F.date_sub(f"orders.{last}", 30)))
+    now.unionByName(now).unionByName(stale).write.parquet(path)
+    rolled = features.behaviour(spark, sf, TEST_RUN)
+    got = features.assemble_stage_features(spark.read.parquet(path), rolled, TEST_RUN)
+    want = features.stage_feature_table(spark, sf, TEST_RUN)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    scanned = {f.name for f in now.schema["orders"].dataType["darkstores"].dataType.fields}
+    schema = got._jdf.queryExecution().sparkPlan().toString()
+    assert any(name not in schema[schema.index("ReadSchema"):] for name in scanned)
+
+
 def test_behaviour_gates_and_session_average(spark):
     cohort = spark.createDataFrame(
         [("e", 1, None, 3, 28), ("e", 2, 0, 0, None), ("e", 3, 1, 1, 0), ("e", 4, 1, 2, 56)],

@@ -127,6 +127,8 @@ def active_features(spark: SparkSession, directory: str, run: RunParams) -> Data
 
 # Needed by filters and roll-ups only, not part of the published table.
 INTERNAL = ("last_order_date_vert_rs", "order_count_late_lifetime_vert_qc")
+# Which copy of a customer is the latest.
+RECENCY = ("last_order_date_vert_rs", "first_order_date_vert_dmart")
 
 
 def assemble_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, fix_session_avg: bool = False,
@@ -144,15 +146,18 @@ def assemble_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, fi
     return attach_behaviour(cohort.drop(*INTERNAL), rolled, fix_session_avg)
 
 
-def assemble_stage_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, strict: bool = False) -> DataFrame:
+def assemble_stage_features(snapshot: DataFrame, rolled: DataFrame, run: RunParams, strict: bool = False,
+                            unique: bool = False) -> DataFrame:
     """Variant for the dark-store study: conversion cohort, local-store columns, no coverage filter.
 
-    The stored snapshot may repeat customers; one row of each stays.
+    A stored snapshot may repeat customers; of each the copy with the latest order stays. Copies are compared as flat
+    rows, so fields of the snapshot that no feature reads are neither scanned nor shuffled. `unique`: it has no copies.
     """
-    snapshot = dedup_latest(snapshot, KEYS, [])
     if run.entity is not None:
         snapshot, rolled = snapshot.filter(in_entity(run.entity)), rolled.filter(in_entity(run.entity))
     flat = flatten_features(snapshot, run.as_of, local_stores=True, dark_stores=True)
+    if not unique:
+        flat = dedup_latest(flat, KEYS, RECENCY)
     moved = conversion_cohort(
         F.col("first_order_date_vert_rs"),
         F.col("last_order_date_vert_rs"),
@@ -173,4 +178,5 @@ def feature_table(spark: SparkSession, directory: str, run: RunParams, fix_sessi
 
 def stage_feature_table(spark: SparkSession, directory: str, run: RunParams, strict: bool = False) -> DataFrame:
     snapshot = customer_snapshot(spark, directory, run.as_of, run.entity, STAGE_PATHS)
-    return assemble_stage_features(snapshot, behaviour(spark, directory, run), run, strict)
+    # an aggregate by customer has one row of each
+    return assemble_stage_features(snapshot, behaviour(spark, directory, run), run, strict, unique=True)
