@@ -37,6 +37,30 @@ def test_pieces_against_brute_force():
         assert counts[k].tolist() == [longest_pieces(joined[x], folded(text)) for x in ("aa", "bb")]
 
 
+def test_languages_of_very_many_letters():
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    words = ["".join(rng.choices(letters, k=2)) for _ in range(4000)]
+    texts = ["".join(rng.choice(words) for _ in range(100)) for _ in range(120)]
+    sample = {"aa": ["".join(rng.choice("abcd ") for _ in range(3000))], "zz": texts[:100]}
+    model = langid.learn({k: [langid.folded([t])[0] for t in v] for k, v in sample.items()})
+    joined = {k: "".join(folded(t) + " " for t in v) for k, v in sample.items()}
+    asked = [*texts[100:], "ab" + texts[0][:50] + "ca d", "\u3042" * 5 + texts[1]]
+    counts, _ = langid.pieces(model, asked)
+    assert counts.tolist() == [[longest_pieces(joined[x], folded(t)) for x in ("aa", "zz")] for t in asked]
+    names, _, mean, usual, _ = langid.predict(model, texts[100:])
+    assert set(names) == {"zz"} and (mean > 0.6 * usual).all()
+
+
+def test_sixty_languages_of_alphabets_of_their_own():
+    rng = random.Random(4)
+    sample = {f"l{i:02}": ["".join(rng.choice([chr(0x4E00 + 30 * i + j) for j in range(30)]) for _ in range(9000))] for i in range(60)}
+    model = langid.learn({k: [langid.folded([t])[0] for t in v] for k, v in sample.items()})
+    names = langid.predict(model, [v[0][:40] for v in sample.values()])[0]
+    assert names == model.languages and len(names) == 60
+    assert sum(a.nbytes for a in (model.table, model.listed, model.targets, model.local, model.anew)) < 220 << 20
+
+
 def test_special_texts():
     model = langid.learn({"x": [langid.folded(["one two three"])[0]]})
     names, score, *_ = langid.predict(model, [None, "", "12 !", "two", "Ünknown"])

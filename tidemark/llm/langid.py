@@ -4,12 +4,15 @@ A suffix automaton holds a bounded sample of labelled text of each language. A t
 that occur in that sample; the more pieces, the farther the language. The number of pieces times the logarithm of the
 sample's length, for each letter or gap of the text, is the cross entropy; the language with the least wins.
 
-The automata are unfolded into one table, in which a missing transition already holds the state after starting the
-next piece and a mark. Many stretches of text then walk through all automata together, one look-up for each symbol.
-A piece also ends after every STRETCH symbols, so a long text is as many stretches and no task waits for one.
+The automata are unfolded into one table over the SYMBOLS most frequent letters of each language, in which a missing
+transition already holds the state after starting the next piece and a mark. Transitions by a language's other letters
+lie in one sorted list. Many stretches of text then walk through all automata together, one look-up for each symbol. A
+letter that a language's sample lacks ends a piece in that language alone. A piece also ends after every STRETCH symbols, so a long text is as many stretches and no task waits for one.
 
 Learning takes rows with a non-null language, chosen by the hash of their id, until SAMPLE symbols of a language are
-there (all of them, if fewer), for the LANGUAGES most frequent languages. These bounds do not touch scoring.
+there (all of them, if fewer), for the LANGUAGES most frequent languages; beyond 8 languages the samples share TOTAL
+symbols evenly. These bounds do not touch scoring. How long pieces usually are in a language is learned by parsing one
+half of its sample by the other.
 
 Cases: a null text or one without a letter gets `und` and score 0; so does every text when nothing could be learned.
 With one learned language its texts get score 1. Ties go to the language first in order. Repeated rows and null ids
@@ -32,12 +35,13 @@ from tidemark.llm.common import col, slices
 
 SAMPLE = 50_000  # symbols of labelled text for each language
 SAMPLE_ROWS = 400  # rows of a language looked at to find them
-LANGUAGES = 40  # most frequent languages that are learned
-SYMBOLS = 60  # most frequent letters of the samples; rarer ones match nothing
+TOTAL = 400_000  # symbols of all languages
+LANGUAGES = 400  # most frequent languages that are learned
+SYMBOLS = 60  # most frequent letters of a language, which have a place in the table
 STRETCH = 1024
 SLICE = 2 << 20  # bytes of text parsed at a time
 UNDETERMINED = "und"
-GAP, RARE = 0, 1  # symbols: anything but a letter; a letter of no sample
+GAP, RARE, LISTED = 0, 1, -1  # symbols: anything but a letter; a letter the sample lacks; a letter beyond the table
 MARK = 1 << 30
 
 
@@ -101,54 +105,91 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def usual_piece(codes: list[int]) -> float:
+    """Mean length of the pieces of the second half, parsed by the first."""
+    half = len(codes) // 2
+    moves, state, count = suffix_automaton(codes[:half]), 0, 0
+    for c in codes[half:]:
+        if not state or c not in moves[state]:
+            state, count = 0, count + 1
+        state = moves[state].get(c, 0)
+    return (len(codes) - half) / max(count, 1)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    symbol_of: dict[int, int]  # code point to symbol
+    points: np.ndarray  # code points of all samples in order, 0 (a gap) first
+    local: np.ndarray  # symbol of each of these points in each language; the last row is for all other letters
     table: np.ndarray  # next row offset by (row offset + symbol), MARK where a new piece starts
     starts: np.ndarray  # row offset of each language's start
+    listed: np.ndarray  # row offset * number of points + point, in order: transitions beyond the table
+    targets: np.ndarray  # their next row offsets
+    anew: np.ndarray  # row offset after a new piece that starts with the point, by point and language; with MARK
     costs: np.ndarray  # logarithm of each sample's length
+    usual: np.ndarray  # usual mean length of a piece in each language
 
 
 def learn(samples: dict[str, list[np.ndarray]]) -> Model:
     """samples: the folded texts of each language."""
     languages = sorted(k for k, v in samples.items() if sum(map(len, v)))
-    every = np.concatenate([np.zeros(0, np.uint32), *[t for k in languages for t in samples[k]]])
-    points, counts = np.unique(every[every > 0], return_counts=True)
-    chosen = points[np.lexsort((points, -counts))][:SYMBOLS]
-    symbol_of = {int(c): i + 2 for i, c in enumerate(chosen)} | {0: GAP}
-    width = len(chosen) + 2
-    tables, starts, costs, base = [], [], [], 0
-    for language in languages:
-        symbols: list[int] = []
-        for t in samples[language]:
-            symbols += [symbol_of.get(c, RARE) for c in t.tolist()] + [GAP]
-        symbols = symbols[:SAMPLE]
-        moves = suffix_automaton(symbols)
+    points = np.unique(np.concatenate([np.zeros(1, np.uint32), *[t for k in languages for t in samples[k]]]))
+    local = np.full((len(points) + 1, len(languages)), RARE, np.int32)
+    anew = np.zeros((len(points), len(languages)), np.int32)
+    tables, starts, keys, targets, costs, usual, base = [], [], [], [], [], [], 0
+    share = min(SAMPLE, TOTAL // max(len(languages), 1))
+    for k, language in enumerate(languages):
+        codes = np.concatenate([np.r_[np.searchsorted(points, t), 0] for t in samples[language]])[:share]
+        counts = np.bincount(codes, minlength=len(points))
+        counts[0] = 0
+        own = np.flatnonzero(counts)
+        own = own[np.lexsort((own, -counts[own]))]
+        chosen, others = own[:SYMBOLS], own[SYMBOLS:]
+        width = len(chosen) + 2
+        local[0, k], local[chosen, k], local[others, k] = GAP, np.arange(2, width), LISTED
+        symbol = local[:, k]
+        moves = suffix_automaton(codes.tolist())
         rows = np.full((len(moves) + 1, width), -1, np.int64)
         for state, to in enumerate(moves):
-            for c, target in to.items():
-                rows[state, c] = target
+            for point, target in to.items():
+                if symbol[point] != LISTED:
+                    rows[state, symbol[point]] = target
+                else:
+                    keys.append((base + state * width) * len(points) + point)
+                    targets.append(base + target * width)
         fresh = np.where(rows[0] >= 0, rows[0], len(moves)) | MARK  # a new piece; the last row: no piece is open
-        fresh[RARE] = len(moves) | MARK
-        rows[:, RARE] = -1
         rows = np.where(rows >= 0, rows, fresh)
         rows[-1] = fresh
         rows = np.where(rows >= MARK, ((rows - MARK) * width + base) | MARK, rows * width + base)
-        tables.append(rows.ravel())
+        anew[others, k] = [(base + moves[0][point] * width) | MARK for point in others.tolist()]
+        tables.append(rows.ravel().astype(np.int32))
         starts.append(base + len(moves) * width)
-        costs.append(math.log2(len(symbols) + 1))
+        costs.append(math.log2(len(codes) + 1))
+        usual.append(usual_piece(codes.tolist()))
         base += rows.size
-    table = np.concatenate([np.zeros(0, np.int32), *[t.astype(np.int32) for t in tables]])
-    return Model(languages, symbol_of, table, np.array(starts, np.int64), np.array(costs))
+    order = np.argsort(np.array(keys, np.int64))
+    listed, aims = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+    table = np.concatenate([np.zeros(0, np.int32), *tables])
+    return Model(languages, points, local, table, np.array(starts, np.int64), listed, aims, anew, np.array(costs), np.array(usual))
+
+
+def step_on(model: Model, state: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Where each stretch is in each language after its next point, with MARK where a piece starts."""
+    symbol = model.local[point]
+    to = model.table[state + np.maximum(symbol, 0)]
+    row, language = np.nonzero(symbol == LISTED) if len(model.listed) else (None, None)
+    if row is not None and len(row):
+        key = state[row, language] * len(model.points) + point[row]
+        at = np.minimum(np.searchsorted(model.listed, key), len(model.listed) - 1)
+        to[row, language] = np.where(model.listed[at] == key, model.targets[at], model.anew[point[row], language])
+    return to
 
 
 def pieces(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of pieces by text and language, and the symbols of each text."""
     codes, lengths = folded(texts)
-    points = np.array(sorted(model.symbol_of), np.uint32)
-    at = np.minimum(np.searchsorted(points, codes), len(points) - 1)
-    symbols = np.where(points[at] == codes, np.array([model.symbol_of[int(c)] for c in points])[at], RARE)
+    at = np.minimum(np.searchsorted(model.points, codes), len(model.points) - 1)
+    symbols = np.where(model.points[at] == codes, at, len(model.points))
     counts = -(-lengths // STRETCH)
     owner = np.repeat(np.arange(len(texts)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)  # stretch of its text
@@ -160,7 +201,7 @@ def pieces(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     state = np.broadcast_to(model.starts, found.shape).copy()
     for step in range(int(size.max(initial=0))):
         n = int(np.searchsorted(-size, -step))  # stretches of more than `step` symbols
-        to = model.table[state[:n] + symbols[start[:n] + step, None]]
+        to = step_on(model, state[:n], symbols[start[:n] + step])
         found[:n] += to >> 30
         state[:n] = to & (MARK - 1)
     total = np.zeros((len(texts), len(model.languages)), np.int64)
@@ -168,11 +209,11 @@ def pieces(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     return total, lengths
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language, score, mean length of a piece and number of symbols of each text."""
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, mean length of a piece, its usual length in the language, and number of symbols of each text."""
     if not model.languages:
         none = np.zeros(len(texts))
-        return [UNDETERMINED] * len(texts), none, none, none.astype(np.int64)
+        return [UNDETERMINED] * len(texts), none, none, none, none.astype(np.int64)
     counts, lengths = pieces(model, texts)
     bits = counts * model.costs / np.maximum(lengths, 1)[:, None]
     best = np.argmin(bits, axis=1)
@@ -184,7 +225,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     score = np.where(np.isinf(second), 1.0, 1 - least / np.maximum(second, 1e-300))
     known = lengths > 0
     names = [model.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-    return names, np.where(known, np.clip(score, 0, 1), 0.0), lengths / np.maximum(counts[rows, best], 1), lengths
+    return names, np.where(known, np.clip(score, 0, 1), 0.0), lengths / np.maximum(counts[rows, best], 1), model.usual[best], lengths
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -208,15 +249,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """The columns `keep` of every row, with lang_pred, score, mean_piece and symbols."""
+    """The columns `keep` of every row, with lang_pred, score, mean_piece, usual_piece and symbols."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most 2 * SAMPLE rows of SYMBOLS for each of LANGUAGES
+    shared = spark.sparkContext.broadcast(model)  # at most 2 * TOTAL rows of SYMBOLS + 2 numbers
     rows = docs.select(col(text).cast("string").alias("text"), F.struct(*keep).alias("row"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, mean_piece double, symbols bigint"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, mean_piece double, usual_piece double, symbols bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, SLICE):
             names, *numbers = predict(shared.value, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), *map(pa.array, numbers)], ["row", "lang_pred", "score", "mean_piece", "symbols"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), *map(pa.array, numbers)], ["row", "lang_pred", "score", "mean_piece", "usual_piece", "symbols"])
 
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "mean_piece", "symbols")
+    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "mean_piece", "usual_piece", "symbols")

@@ -133,7 +133,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 3) == 1
     model = langid.fit(docs.filter(~held_out))
-    return langid.identify(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("mean_piece", "symbols")
+    return langid.identify(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).drop("mean_piece", "usual_piece", "symbols")
 
 
 @query("op10_best_fit_packing")
