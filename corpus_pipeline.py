@@ -20,6 +20,7 @@ from tidemark.llm.common import col, remainder, table
 from tidemark.session import scratch_path, scratch_run
 
 SHORTEST_PIECE = 2.0  # texts whose pieces are shorter on average are in no learned language ...
+USUAL = 0.6  # ... or, where pieces of the language are short, than this part of their usual length ...
 SYMBOLS = 64  # ... if they have so many symbols
 KEEP_QUALITY = 0.3
 
@@ -32,7 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter and those that fit no learned language go."""
     model = langid.fit(docs.filter(remainder("doc_id", 3) != 1))
     found = langid.identify(docs, model, keep=_row(docs))
-    odd = (F.col("symbols") >= SYMBOLS) & (F.col("mean_piece") < SHORTEST_PIECE)
+    shortest = F.least(F.lit(SHORTEST_PIECE), F.col("usual_piece") * USUAL)
+    odd = (F.col("symbols") >= SYMBOLS) & (F.col("mean_piece") < shortest)
     return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & ~odd).select("document.*")
 
 
