@@ -132,3 +132,35 @@ def test_no_rows_one_class_and_nothing_to_split(spark, planted):
     )
     assert few.trees == [] and unlabelled.trees == []
     assert all(s > 0.999 for s in one.link(one.margins(one.binned(np.zeros((3, 5))))))
+
+
+def test_features_with_few_bins_are_counted_together():
+    rng = np.random.default_rng(3)
+    sizes = [2, 1, 32, 2, 7, 32, 1, 3, 200, 2, 5]
+    codes = boosting._codes([np.arange(s - 1.0) for s in sizes])
+    assert sorted(f for c in codes for f in c.features) == list(range(len(sizes)))
+    assert len(codes) == 3 and all(c.size <= boosting.CODES for c in codes)  # instead of one for each of eleven
+    bins = np.stack([rng.integers(0, s, 500) for s in sizes], axis=1).astype(np.uint8)
+    node, rows = rng.integers(0, 3, 400), np.sort(rng.permutation(500)[:400])
+    gradient, hessian = rng.integers(-9, 9, 400).astype(float), rng.integers(1, 9, 400).astype(float)
+    columns = np.array([0, 2, 4, 6, 8, 10])
+    got, want = np.zeros((3, 3, len(columns), 200)), np.zeros((3, 3, len(columns), 200))
+    boosting._count(got, codes, boosting._coded(bins, codes).T, columns, node, rows, gradient, hessian)
+    for i, r in enumerate(rows):
+        for place, f in enumerate(columns):
+            want[:, node[i], place, bins[r, f]] += (gradient[i], hessian[i], 1)
+    assert np.array_equal(got, want)
+
+
+def test_rows_end_where_the_tree_leads_them():
+    rng = np.random.default_rng(5)
+    tree = boosting.Tree.empty(3)
+    tree.feature[[0, 1, 2, 6]], tree.bin[[0, 1, 2, 6]] = [1, 0, 1, 2], [4, 2, 7, 0]
+    bins = rng.integers(0, 10, (200, 3)).astype(np.uint8)
+
+    def walk(row, node=0):
+        f = tree.feature[node]
+        return node if f < 0 else walk(row, 2 * node + 1 + int(row[f] > tree.bin[node]))
+
+    assert tree.nodes(bins).tolist() == [walk(r) for r in bins]
+    assert boosting.Tree.empty(2).nodes(bins).tolist() == [0] * 200
