@@ -77,3 +77,35 @@ def test_importance_counts_splits(spark, fitted):
     table = {r.feature: r.imp_mean for r in explain.feature_importance(spark, [model], NAMES).collect()}
     splits = [int(f) for t in model.trees for f in t.feature if f >= 0]
     assert all(table[n] == pytest.approx(splits.count(k) / len(splits)) for k, n in enumerate(NAMES))
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_blocks_of_rows_meet_the_backgrounds_that_pairs_met(fitted, monkeypatch, block):
+    df, model, _binary = fitted
+    monkeypatch.setattr(explain, "SHAPLEY_BLOCK", block)
+    got = {(r.id, r.feature): r for r in explain.tree_shapley(model, df, ["id"], NAMES, backgrounds=9).collect()}
+    order = sorted((r.h, r.id, r.x) for r in df.select(portable_hash(43, "id").alias("h"), "id", models.FEATURES).toDF("h", "id", "x").collect())
+    n = len(order)
+    first = df.select((portable_hash(42, F.lit("first")) % (n - 1)).alias("s")).first().s
+    bins = model.binned(np.array([x.toArray() for _, _, x in order]))
+    partners = [(np.arange(n) + 1 + (first + o) % (n - 1)) % n for o in range(9)]
+    values = np.array([explain.pair_contributions(model, bins, bins[p]) for p in partners])
+    base = np.mean([model.margins(bins)[p] for p in partners], axis=0)
+    assert len(got) == n * len(NAMES)
+    for i, (_, key, _x) in enumerate(order):
+        for f, name in enumerate(NAMES):
+            r = got[key, name]
+            assert r.shap == pytest.approx(values[:, i, f].mean(), abs=1e-9) and r.base == pytest.approx(base[i], abs=1e-9)
+            assert r.shap_se == pytest.approx(math.sqrt(values[:, i, f].var(ddof=1) / 9 * (1 - 9 / (n - 1))), abs=1e-7)
+
+
+def test_a_summary_of_unique_rows_adds_nothing_up_by_row_and_feature(fitted):
+    df, model, _binary = fitted
+    plans = []
+    plain = explain.durable
+    try:
+        explain.durable = lambda frame: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or plain(frame)
+        explain.tree_shapley(model, df, ["id"], NAMES, backgrounds=3)
+    finally:
+        explain.durable = plain
+    assert "Generate" in plans[-1] and "Aggregate" not in plans[-1]
