@@ -164,3 +164,42 @@ def test_rows_end_where_the_tree_leads_them():
 
     assert tree.nodes(bins).tolist() == [walk(r) for r in bins]
     assert boosting.Tree.empty(2).nodes(bins).tolist() == [0] * 200
+
+
+def test_rows_are_stored_by_pieces(spark, planted, monkeypatch):
+    fits = [Fit(F.col("y"), roles(0), True, replace(PARAMS, n_estimators=10)), Fit(F.col("v"), F.lit(TRAINS), False, replace(PARAMS, n_estimators=10))]
+    together = boost(planted, fits, "features")
+    monkeypatch.setattr(boosting, "PIECE", 500)
+    path = scratch_path(spark, "run")
+    assert all(same(a, b) for a, b in zip(together, boost(planted.coalesce(1), fits, "features", path), strict=True))
+    for round_ in (0, 8):
+        stored = spark.read.parquet(f"{path}/rows-{round_}").collect()
+        assert sorted(len(r.roles) // 2 for r in stored) == [200, 500, 500]  # instead of 1200 rows
+
+
+def test_hessians_and_rows_counted_as_one_number_or_apart_are_the_same():
+    rng = np.random.default_rng(7)
+    codes = boosting._codes([np.arange(s - 1.0) for s in (4, 1, 7, 2, 3)])
+    bins = np.stack([rng.integers(0, s, 3000) for s in (4, 1, 7, 2, 3)], axis=1).astype(np.uint8)
+    coded, columns = boosting._coded(bins, codes).T, np.arange(5)
+    node, rows = rng.integers(0, 2, 3000), np.arange(3000)
+    gradient, hessian = rng.integers(-(2**24), 2**24, 3000).astype(float), rng.integers(0, 2**22, 3000).astype(float)
+    one, apart = np.zeros((3, 2, 5, 7)), np.zeros((3, 2, 5, 7))
+    boosting._count(one, codes, coded, columns, node, rows, gradient, hessian)
+    hessian[0] += 2.0**50  # too much for one number
+    boosting._count(apart, codes, coded, columns, node, rows, gradient, hessian)
+    for f in range(5):
+        apart[1, node[0], f, bins[0, f]] -= 2.0**50
+    assert np.array_equal(one, apart) and one[2].sum() == 5 * 3000
+    column = boosting._columns(coded, codes)
+    assert all(np.array_equal(column(f), bins[:, f]) for f in range(5))
+
+
+def test_labels_are_missing_or_stand_at_few_rows(spark, planted):
+    few = F.when(F.col("id") % 40 == 0, STOPS).when(F.col("id") % 10 == 1, TRAINS)  # only these rows are looked at
+    gaps = F.when(F.col("id") % 3 > 0, F.col("v"))
+    for label, role, binary in ((F.col("y"), few, True), (gaps, F.lit(TRAINS), False)):
+        p = replace(PARAMS, n_estimators=3)
+        [model] = boost(planted, [Fit(label, role, binary, p)], "features")
+        mean = planted.filter(role == TRAINS).agg(F.avg(label)).first()[0]
+        assert abs(model.base - (np.log(mean / (1 - mean)) if binary else mean)) < 1e-5 and model.trees
