@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import portable_hash
 from tidemark.operators import explain, models
+from tidemark.operators.boosting import Boosted, Tree
 from tidemark.session import durable
 
 NAMES = [f"f{k}" for k in range(6)]
@@ -109,3 +110,84 @@ def test_a_summary_of_unique_rows_adds_nothing_up_by_row_and_feature(fitted):
     finally:
         explain.durable = plain
     assert "Generate" in plans[-1] and "Aggregate" not in plans[-1]
+
+
+def against_all(model, rows):
+    """{key: (values, base)} of rows (key, features) by their pairs with every other row."""
+    bins = model.binned(np.array([x.toArray() for _, x in rows]))
+    margins, n = model.margins(bins), len(rows)
+    out = {}
+    for i, (key, _x) in enumerate(rows):
+        others = [j for j in range(n) if j != i]
+        values = explain.pair_contributions(model, np.tile(bins[i], (n - 1, 1)), bins[others])
+        out[key] = (values.mean(axis=0), margins[others].mean())
+    return out
+
+
+@pytest.mark.parametrize("patterns", [1, 20, 1 << 20])  # groups of one leaf, of some, one for all
+def test_each_row_meets_all_others_unless_backgrounds_are_drawn(fitted, monkeypatch, patterns):
+    df, model, _binary = fitted
+    monkeypatch.setattr(explain, "PATTERNS", patterns)
+    df, model = df.filter("id < 60"), replace(model, trees=model.trees[:2])
+    want = against_all(model, df.select("id", models.FEATURES).collect())
+    got = explain.tree_shapley(model, df, ["id"], NAMES).collect()
+    assert sorted((r.id, r.feature) for r in got) == sorted((i, f) for i in want for f in NAMES)
+    for r in got:
+        values, base = want[r.id]
+        assert r.shap == pytest.approx(values[NAMES.index(r.feature)], abs=1e-9) and r.base == pytest.approx(base, abs=1e-9)
+        assert r.shap_se == 0
+
+
+def test_the_summary_is_of_all_pairs(spark, fitted, monkeypatch):
+    from tidemark.catalog import models as catalog
+    from tidemark.catalog.registry import QUERIES
+
+    df, model, _binary = fitted
+    df = df.withColumnRenamed("id", catalog.ID)
+    monkeypatch.setattr(catalog, "_vectors", lambda *_: (df, model, NAMES))
+    values = [v for v, _ in against_all(model, df.select(catalog.ID, models.FEATURES).collect()).values()]
+    want = np.abs(values).mean(axis=0)
+    got = {r.feature: r.mean_abs_shap for r in QUERIES["shapley_summary"](spark, "").collect()}
+    assert got.keys() == set(NAMES) and all(got[f] == pytest.approx(w, abs=1e-9) for f, w in zip(NAMES, want, strict=True))
+
+
+def test_repeated_and_missing_keys_share_their_mean(fitted):
+    df, model, _binary = fitted
+    df = df.filter("id < 12").withColumn("id", F.when(F.col("id") % 4 > 0, F.col("id") % 4))
+    rows = df.select("id", models.FEATURES).collect()
+    whole = against_all(model, [((i, key), x) for i, (key, x) in enumerate(rows)])
+    got = explain.tree_shapley(model, df, ["id"], NAMES).collect()
+    assert len(got) == len({key for key, _ in rows}) * len(NAMES) < len(rows) * len(NAMES)
+    for r in got:
+        mine = [v for (_, key), v in whole.items() if key == r.id]
+        assert r.shap == pytest.approx(np.mean([v[NAMES.index(r.feature)] for v, _ in mine]), abs=1e-9)
+        assert r.base == pytest.approx(np.mean([b for _, b in mine]), abs=1e-9)
+
+
+def test_one_row_or_none_and_a_model_without_trees(fitted):
+    df, model, _binary = fitted
+    one = explain.tree_shapley(model, df.filter("id = 3"), ["id"], NAMES).collect()
+    assert len(one) == len(NAMES) and all(r.shap == 0 and r.score == r.base for r in one)
+    assert explain.tree_shapley(model, df.filter("id < 0"), ["id"], NAMES).count() == 0
+    bare = explain.tree_shapley(replace(model, trees=[]), df, ["id"], NAMES).collect()
+    assert len(bare) == 240 * len(NAMES) and all(r.shap == 0 and r.score == model.base for r in bare)
+
+
+@pytest.mark.parametrize("k", range(7))
+def test_leaf_contributions_are_those_of_the_pairs_counted(k):
+    rng = np.random.default_rng(k)
+    x = rng.integers(0, 2, (50, k + 1)).astype(np.uint8)
+    # a path of k features, one node a level: bin 0 goes on to the left
+    feature = np.full(2 ** (k + 1) - 1, -1, np.int32)
+    for level in range(k):
+        feature[2**level - 1] = level
+    value = np.zeros(len(feature))
+    value[2**k - 1] = 3.0
+    model = Boosted([np.array([0.5])] * (k + 1), 0.0, False, [Tree(feature, np.zeros(len(feature), np.int32), value)])
+    leaf = next(p for p in explain.leaf_paths(model.trees[0]) if p[0] == 3.0)
+    pattern = explain._patterns(leaf, np.ascontiguousarray(x.T))
+    table = explain.leaf_contributions(3.0, np.bincount(pattern, minlength=1 << k))
+    assert table.shape == (k, 1 << k)
+    for i in range(len(x)):
+        want = explain.pair_contributions(model, np.tile(x[i], (len(x), 1)), x).sum(axis=0)
+        assert np.allclose(table[:, pattern[i]], want[:k], atol=1e-9)
